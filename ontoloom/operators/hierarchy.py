@@ -37,7 +37,8 @@ def _walk(ptr: DataFrame, with_paths: bool) -> DataFrame:
         nxt = ptr.select(
             F.col("node").alias("nxt"), F.col("nxt").alias("_n"), F.col("d").alias("_d"), F.col("low").alias("_l"), F.col("stop").alias("_s"), *([F.col("seg").alias("_g")] if with_paths else [])
         )
-        moved = lookup(ptr.where(~F.col("stop")), nxt, "nxt").select(
+        # a pointer table is narrow; where many pointers share a target, adaptive execution splits that partition
+        moved = ptr.where(~F.col("stop")).join(nxt, "nxt", "left").select(
             "node", F.coalesce("_n", "nxt").alias("nxt"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.least("low", "_l").alias("low"), F.coalesce("_s", F.lit(True)).alias("stop"),
             *([F.concat("seg", F.coalesce("_g", F.array().cast("array<string>"))).alias("seg")] if with_paths else []),
         )
@@ -45,7 +46,7 @@ def _walk(ptr: DataFrame, with_paths: bool) -> DataFrame:
     # what is still open runs on cycles: from a node on the cycle the walk has covered the whole cycle
     looped = ptr.where(~F.col("stop"))
     on_cycle = looped.select(F.col("node").alias("nxt"), F.col("low").alias("_l"))
-    looped = lookup(looped, on_cycle, "nxt").withColumn("low", F.coalesce("_l", "low")).drop("_l")
+    looped = looped.join(on_cycle, "nxt", "left").withColumn("low", F.coalesce("_l", "low")).drop("_l")
     return checkpoint(ptr.where("stop").unionByName(looped))
 
 
@@ -78,7 +79,7 @@ def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT
     # the reduced graph: splitters pointing to splitters; anything that isn't a splitter with a parent is an end
     splitters = walked.where("stop").join(first.where("split").select("node"), "node", "left_semi")
     going = splitters.select(F.col("node").alias("nxt"), F.lit(False).alias("_end"))
-    reduced = lookup(splitters.drop("stop"), going, "nxt").withColumn("stop", F.coalesce("_end", F.lit(True))).drop("_end")
+    reduced = splitters.drop("stop").join(going, "nxt", "left").withColumn("stop", F.coalesce("_end", F.lit(True))).drop("_end")
     # splitters whose walk ends in a splitterless cycle count as ends too, and hand that cycle on
     solved = _walk(checkpoint(reduced), with_paths)
     loops = walked.where(~F.col("stop")).select(F.col("node"), F.col("low").alias("cycle"))
