@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+    """Cut the lineage of `df` with a reliable checkpoint of no more than spark.sql.shuffle.partitions partitions.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs)
     a temporary one is made.
@@ -25,7 +25,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(n).checkpoint(eager=True)  # unions round after round would add up partitions
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
