@@ -16,17 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint of no more than spark.sql.shuffle.partitions partitions.
+def checkpoint(df: DataFrame, merge: bool = False) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs)
-    a temporary one is made.
+    a temporary one is made. merge: write no more than spark.sql.shuffle.partitions partitions, for iterations
+    whose unions would add up partitions round after round.
     """
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-checkpoint-"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(n).checkpoint(eager=True)  # unions round after round would add up partitions
+    if merge:
+        df = df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.checkpoint(eager=True)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
