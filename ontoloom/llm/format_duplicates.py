@@ -6,7 +6,6 @@ import ast
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
@@ -55,7 +54,6 @@ def parse_record(payload: str) -> object:
         return payload
 
 
-@F.pandas_udf("root binary, canon string")
 def _payload_digest(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
     rows = []
     for k, p in zip(kind, payload, strict=True):
@@ -64,7 +62,6 @@ def _payload_digest(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["root", "canon"])
 
 
-@F.pandas_udf("string")
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(leaf, na_action="ignore")
 
@@ -82,14 +79,14 @@ def text_records(df: DataFrame, record_table: str, key: str, field: str) -> Data
     rows = df.where(F.col(field).isNotNull() & F.col(key).isNotNull()).select(F.lit(record_table).alias("record_table"), F.col(key).cast("long").alias("key"), F.col(field).alias("text"))
     marked = F.col("text").rlike(r"\p{M}")
     plain = rows.where(~marked).select("record_table", "key", canonical(F.col("text")).alias("canon"))
-    other = rows.where(marked).select("record_table", "key", _compose("text").alias("canon"))
+    other = rows.where(marked).select("record_table", "key", F.pandas_udf(_compose, "string")("text").alias("canon"))
     return plain.unionByName(other).select("record_table", "key", F.unhex(F.md5(F.concat_ws("\x00", "record_table", "canon"))).alias("root"), "canon")
 
 
 def nested_records(df: DataFrame, record_table: str, key: str, kind: str, payload: str) -> DataFrame:
     """Records of a payload column together with its kind. Null payloads and keys make no record."""
     rows = df.where(F.col(payload).isNotNull() & F.col(key).isNotNull())
-    hashed = rows.select(F.lit(record_table).alias("record_table"), F.col(key).cast("long").alias("key"), _payload_digest(F.col(kind), F.col(payload)).alias("m"))
+    hashed = rows.select(F.lit(record_table).alias("record_table"), F.col(key).cast("long").alias("key"), F.pandas_udf(_payload_digest, "root binary, canon string")(F.col(kind), F.col(payload)).alias("m"))
     return hashed.select("record_table", "key", F.unhex(F.md5(F.concat_ws("\x00", "record_table", F.hex("m.root")))).alias("root"), "m.canon")
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,6 +212,26 @@ def _blocks(reference: DataFrame) -> list[Vocabulary]:
     return out
 
 
+def _split(value: pd.Series) -> pd.Series:
+    return value.map(tokens)
+
+
+def _repairer(shared: Broadcast):
+    def repair(token: pd.Series) -> pd.Series:
+        return token.map(lambda t: [{"word": w, "sim": x} for w, x in shared.value.repair(t)])
+
+    return F.pandas_udf(repair, "array<struct<word:string,sim:double>>")
+
+
+def _ranker(shared: Broadcast):
+    def rank(value: pd.Series, bag: pd.Series) -> pd.DataFrame:
+        bags = ([(t["token"], [(c["word"], c["sim"]) for c in t["fits"]]) for t in b] for b in bag)
+        rows = [shared.value.rank(x, b) or (None, 0.0) for x, b in zip(value, bags, strict=True)]
+        return pd.DataFrame(rows, columns=["uri", "score"])
+
+    return F.pandas_udf(rank, "uri string, score double")
+
+
 def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """The reference entry meant by each distinct value.
 
@@ -223,25 +244,16 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """
     spark = values.sparkSession
     distinct = checkpoint(values.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("rows")).select("value"))
-    split = F.pandas_udf(lambda s: s.map(tokens), "array<string>")
-    listed = distinct.select("value", F.posexplode_outer(split("value")).alias("pos", "token"))
+    listed = distinct.select("value", F.posexplode_outer(F.pandas_udf(_split, "array<string>")("value")).alias("pos", "token"))
     listed = checkpoint(listed)
     words = listed.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token")
     found = None
     for vocabulary in _blocks(reference):
         shared = spark.sparkContext.broadcast(vocabulary)  # at most BLOCK entries
-        kind = "array<struct<word:string,sim:double>>"
-        repair = F.pandas_udf(lambda s, v=shared: s.map(lambda t: [{"word": w, "sim": x} for w, x in v.value.repair(t)]), kind)
-        repaired = checkpoint(words.select("token", repair("token").alias("fits")))
+        repaired = checkpoint(words.select("token", _repairer(shared)("token").alias("fits")))
         placed = lookup(listed, repaired, "token")
         bags = placed.groupBy("value").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token", "fits")))).alias("bag"))
-
-        @F.pandas_udf("uri string, score double")
-        def rank(value: pd.Series, bag: pd.Series, v=shared) -> pd.DataFrame:
-            rows = [v.value.rank(x, [(t["token"], [(c["word"], c["sim"]) for c in t["fits"]]) for t in b]) or (None, 0.0) for x, b in zip(value, bag, strict=True)]
-            return pd.DataFrame(rows, columns=["uri", "score"])
-
-        ranked = bags.select("value", rank("value", "bag").alias("m")).select("value", "m.uri", "m.score")
+        ranked = bags.select("value", _ranker(shared)("value", "bag").alias("m")).select("value", "m.uri", "m.score")
         found = ranked if found is None else found.unionByName(ranked)
     best = found.groupBy("value").agg(F.min(F.when(F.col("uri").isNotNull(), F.struct((-F.col("score")).alias("s"), "uri"))).alias("m"))
     return best.select("value", F.coalesce("m.uri", F.lit("UNMATCHED")).alias("uri"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"))
