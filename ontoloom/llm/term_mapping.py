@@ -49,8 +49,8 @@ def tokens(value: str) -> list[str]:
 
 def compact(value: str) -> str:
     """Letters and digits of a value in one word, without noise around it."""
-    kept = [fold(w).rstrip(".") for w in _WORD.findall(_plain(value))]
-    return "".join(w for w in kept if w not in ("bfo", "ex", "the", "a", "our", "some"))
+    kept = [fold(w) for w in _WORD.findall(_plain(value))]
+    return "".join(w.rstrip(".") for w in kept if w not in ("bfo", "ex", "the", "a", "our", "some"))
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -192,7 +192,7 @@ class Vocabulary:
             # words torn or run together beyond repair: the entry as one word
             least, bits = 99, letters(one)
             for w, uri in self.whole.items():
-                most = min(max(1, len(w) // 5) if len(w) > 3 else 0, 4, least)
+                most = min((max(1, len(w) // 4) if len(w) < 16 else 4) if len(w) > 3 else 0, 4, least)
                 if (bits ^ self.masks[w]).bit_count() > 2 * most:
                     continue
                 d = distance(one, w, most)
