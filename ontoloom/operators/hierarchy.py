@@ -42,12 +42,12 @@ def _walk(ptr: DataFrame, with_paths: bool) -> DataFrame:
             "node", F.coalesce("_n", "nxt").alias("nxt"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.least("low", "_l").alias("low"), F.coalesce("_s", F.lit(True)).alias("stop"),
             *([F.concat("seg", F.coalesce("_g", F.array().cast("array<string>"))).alias("seg")] if with_paths else []),
         )
-        ptr = checkpoint(ptr.where("stop").unionByName(moved), merge=True)
+        ptr = checkpoint(ptr.where("stop").unionByName(moved), replaces=ptr)
     # what is still open runs on cycles: from a node on the cycle the walk has covered the whole cycle
     looped = ptr.where(~F.col("stop"))
     on_cycle = looped.select(F.col("node").alias("nxt"), F.col("low").alias("_l"))
     looped = looped.join(on_cycle, "nxt", "left").withColumn("low", F.coalesce("_l", "low")).drop("_l")
-    return checkpoint(ptr.where("stop").unionByName(looped), merge=True)
+    return checkpoint(ptr.where("stop").unionByName(looped), replaces=ptr)
 
 
 def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT_EVERY) -> DataFrame:
@@ -67,21 +67,22 @@ def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT
         "node", "parent", (F.pmod(F.xxhash64("node"), F.lit(split_every)) == 0).alias("h"), (F.coalesce("children", F.lit(0)) >= HOT_PARENT).alias("hot")
     )
     known = known.select("node", "parent", (F.col("h") | F.col("hot") | F.col("parent").isNull()).alias("split"))
-    known = checkpoint(known, merge=True)
+    known = checkpoint(known)
     target = known.select(F.col("node").alias("parent"), F.col("split").alias("_split"))
     first = lookup(known.where(F.col("parent").isNotNull()), target, "parent").select(
         "node", F.col("parent").alias("nxt"), F.lit(1).alias("d"), F.col("node").alias("low"), F.coalesce("_split", F.lit(True)).alias("stop"), "split", *([F.array("parent").alias("seg")] if with_paths else [])
     )
-    first = checkpoint(first, merge=True)
-    walked = _walk(first.drop("split"), with_paths)
+    first = checkpoint(first)
+    splitting = checkpoint(first.where("split").select("node"))
+    walked = _walk(checkpoint(first.drop("split"), replaces=first), with_paths)
     roots = known.where(F.col("parent").isNull()).select(F.col("node"))
 
     # the reduced graph: splitters pointing to splitters; anything that isn't a splitter with a parent is an end
-    splitters = walked.where("stop").join(first.where("split").select("node"), "node", "left_semi")
+    splitters = walked.where("stop").join(splitting, "node", "left_semi")
     going = splitters.select(F.col("node").alias("nxt"), F.lit(False).alias("_end"))
     reduced = splitters.drop("stop").join(going, "nxt", "left").withColumn("stop", F.coalesce("_end", F.lit(True))).drop("_end")
     # splitters whose walk ends in a splitterless cycle count as ends too, and hand that cycle on
-    solved = _walk(checkpoint(reduced, merge=True), with_paths)
+    solved = _walk(checkpoint(reduced), with_paths)
     loops = walked.where(~F.col("stop")).select(F.col("node"), F.col("low").alias("cycle"))
     ends = solved.join(loops.withColumnRenamed("node", "nxt"), "nxt", "left").select(
         "node",
@@ -89,7 +90,7 @@ def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT
         F.when(F.col("cycle").isNotNull() | ~F.col("stop"), F.lit(-1)).otherwise(F.col("d")).alias("depth"),
         *([F.col("seg")] if with_paths else []),
     )
-    ends = checkpoint(ends, merge=True)
+    ends = checkpoint(ends)
     into = loops.select("node", F.col("cycle").alias("root"), F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("seg")] if with_paths else []))
     up = ends.unionByName(into).select(F.col("node").alias("nxt"), F.col("root").alias("_r"), F.col("depth").alias("_d"), *([F.col("seg").alias("_g")] if with_paths else []))
     joined = lookup(walked.where("stop"), up, "nxt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, merge: bool = False) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+def _scratch(spark: SparkSession) -> str:
+    """The folder for tables that cut lineages: spark.checkpoint.dir, which all executors share."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:  # tests and local runs
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-"))
+            found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = found.get()
+    return f"{named.rstrip('/')}/ontoloom"
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs)
-    a temporary one is made. merge: write no more than spark.sql.shuffle.partitions partitions, for iterations
-    whose unions would add up partitions round after round.
+
+def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage of `df` by writing it as a table into the shared folder of spark.checkpoint.dir.
+
+    A table, unlike a checkpointed RDD, carries no constraints of the plan it came from (which multiply from round to
+    round of an iteration) and is read in as few partitions as its size needs. replaces: an earlier result of this
+    function that nothing will read again; its files are deleted.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-checkpoint-"))
-    if merge:
-        df = df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ontoloom_path = path
+    if replaces is not None:
+        drop(replaces)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files behind a result of `checkpoint` that nothing will read again."""
+    path = getattr(df, "_ontoloom_path", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
