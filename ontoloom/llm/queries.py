@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm import format_duplicates, leakage, mixing, splitting, term_mapping, truncation
+from ontoloom.llm import format_duplicates, leakage, mixing, spam_pages, splitting, term_mapping, truncation
 from ontoloom.runtime import table
 
 
@@ -99,7 +99,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_pieces, p4_found, p4_unmatched, p6_found, p6_rates, p8_found, p8_items, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages most of whose text is repeated keywords, links or tags."""
+    return spam_pages.spam_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Share of such pages per source."""
+    docs = table(spark, d, "documents")
+    scored = spam_pages.score_pages(docs).join(docs.select("doc_id", "source"), "doc_id")
+    n_spam = F.count(F.when(F.col("share") > spam_pages.SHARE, 1))
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), n_spam.alias("n_spam"), F.round(n_spam / F.count(F.lit(1)), 6).alias("spam_rate"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_pieces, p4_found, p4_unmatched, p6_found, p6_rates, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_sources)}
 
 SQL = {
     "p2_found": """SELECT doc_id FROM documents d LEFT JOIN chunk_settings s ON s.source = d.source AND s.source <> '*'
