@@ -62,17 +62,18 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where((F.col("_n") * HOT_SHARE >= total) & (F.col("_n") >= 1000)).select(key)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join rows of `left` with the one row that `right` has for `key`, whatever share of `left` one key holds.
 
     `right` must be unique in `key`. Rows of hot keys meet a broadcast of at most HOT_SHARE rows of
     `right`; the others are shuffled. A hot row keeps its place: it goes through the shuffle under a
-    salted null key, so no task gets more than its part. how: "left" or "inner".
+    salted null key, so no task gets more than its part. how: "left" or "inner". hot: the hot keys, where they are
+    known already (as rows of `key`, no more than HOT_SHARE); otherwise they are counted.
     Null keys find nothing.
     """
     cols = [c for c in right.columns if c != key]
-    hot = right.join(F.broadcast(hot_keys(left, key)), key, "left_semi")
-    h = hot.select(F.col(key).alias("_hk"), F.struct(*cols).alias("_hot") if cols else F.lit(True).alias("_hot"))
+    frequent = right.join(F.broadcast(hot_keys(left, key) if hot is None else hot), key, "left_semi")
+    h = frequent.select(F.col(key).alias("_hk"), F.struct(*cols).alias("_hot") if cols else F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(h), F.col(key).eqNullSafe(F.col("_hk")) & F.col(key).isNotNull(), "left")
     settled = F.col("_hk").isNotNull() | F.col(key).isNull()
     marked = marked.withColumn("_jk", F.when(~settled, F.col(key))).withColumn(
