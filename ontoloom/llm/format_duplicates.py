@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.runtime import lookup
+from ontoloom.runtime import HOT_SHARE, checkpoint, lookup
 
 _NOT_ALNUM = re.compile(r"[^\w]|_")
 
@@ -101,8 +101,9 @@ def collapse(records: DataFrame) -> DataFrame:
 
 def copies(records: DataFrame) -> DataFrame:
     """(record_table, kept_key, copy_key) for every row that isn't the smallest key of its record. No copies: no rows."""
-    groups = collapse(records).where("copies > 1")
-    # a root with two different structures is told apart by its place among them
-    groups = groups.select(F.concat("root", F.encode(F.col("canon"), "utf-8")).alias("id"), "kept_key")
-    found = lookup(records.select("record_table", F.concat("root", F.encode(F.col("canon"), "utf-8")).alias("id"), F.col("key").alias("copy_key")), groups, "id", "inner")
+    records = checkpoint(records.select("record_table", F.concat("root", F.encode("canon", "utf-8")).alias("id"), "key"))
+    # an id is the digest with the whole structure behind it, so a digest shared by different records joins nothing
+    groups = checkpoint(records.groupBy("id").agg(F.min("key").alias("kept_key"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    hot = groups.where((F.col("copies") * HOT_SHARE >= groups.agg(F.sum("copies")).scalar()) & (F.col("copies") >= 1000)).select("id")
+    found = lookup(records.withColumnRenamed("key", "copy_key"), groups.select("id", "kept_key"), "id", "inner", hot)
     return found.where(F.col("copy_key") != F.col("kept_key")).select("record_table", "kept_key", "copy_key").distinct()
