@@ -66,18 +66,22 @@ def _compose(text: pd.Series) -> pd.Series:
     return text.map(leaf, na_action="ignore")
 
 
+#: Combining marks, and letters that folding case turns into several or into others: text with them takes the Python way.
+_SPECIAL = r"[\p{M}\x{DF}\x{130}\x{149}\x{17F}\x{1F0}\x{345}\x{390}\x{3B0}\x{587}\x{1E96}-\x{1E9E}\x{1F50}-\x{1FFC}\x{13A0}-\x{13FD}\x{AB70}-\x{ABBF}\x{FB00}-\x{FB17}\x{212A}\x{212B}\x{2126}]"
+
+
 def canonical(text: Column) -> Column:
-    """The leaf form of already composed text, without leaving the JVM (upper then lower case folds ß and its like)."""
-    return F.translate(F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}\p{M}]", ""), "ς", "σ")
+    """The leaf form of text without special letters, without leaving the JVM."""
+    return F.translate(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), "ς", "σ")
 
 
 def text_records(df: DataFrame, record_table: str, key: str, field: str) -> DataFrame:
     """Records of one text field: record_table, key, root (digest), canon. Null fields and keys make no record.
 
-    Text with combining marks is composed first, in Python; all other text stays in the JVM.
+    Text with combining marks or letters of special case folding is normalised in Python; all other text stays in the JVM.
     """
     rows = df.where(F.col(field).isNotNull() & F.col(key).isNotNull()).select(F.lit(record_table).alias("record_table"), F.col(key).cast("long").alias("key"), F.col(field).alias("text"))
-    marked = F.col("text").rlike(r"\p{M}")
+    marked = F.col("text").rlike(_SPECIAL)
     plain = rows.where(~marked).select("record_table", "key", canonical(F.col("text")).alias("canon"))
     other = rows.where(marked).select("record_table", "key", F.pandas_udf(_compose, "string")("text").alias("canon"))
     return plain.unionByName(other).select("record_table", "key", F.unhex(F.md5(F.concat_ws("\x00", "record_table", "canon"))).alias("root"), "canon")
