@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.text import normalize_id
 from ontoloom.operators.tbox import first_wins
+from ontoloom.runtime import lookup
 
 
 def known_entities(entities: DataFrame, classes: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def remap_relations(relations: DataFrame, entities: DataFrame, leaders: DataFram
 
     entities: accepted mentions with doc_id, chunk_ix, id; leaders: norm, leader, unique in norm.
     """
-    mapped = entities.where("id is not null").select("doc_id", "chunk_ix", "id", normalize_id(F.col("id")).alias("norm")).distinct().join(leaders, "norm")
+    mapped = entities.where("id is not null").select("doc_id", "chunk_ix", "id", normalize_id(F.col("id")).alias("norm")).distinct()
+    mapped = lookup(mapped, leaders, "norm", "inner")
     out = relations
     for end in ("source_id", "target_id"):
         m = mapped.select("doc_id", "chunk_ix", F.col("id").alias(end), F.col("leader").alias("_to"))

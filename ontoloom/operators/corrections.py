@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.operators.validation import validate
@@ -27,9 +27,8 @@ def apply_corrections(classes: DataFrame, properties: DataFrame, corrections: Da
         later = named.where(F.col("action") == f"update_{end}").where("v is not null and v <> ''").select(F.col("t").alias("uri"), "seq", F.col("v").alias("value"))
         start = properties.select("uri", F.lit(-1).cast("long").alias("seq"), F.col(end).alias("value"))
         moments = start.unionByName(later.join(properties.select("uri"), "uri", "left_semi").select("uri", F.col("seq").cast("long").alias("seq"), "value"))
-        # end of each interval: the next update of the same property, found without sorting any group
-        nexts = moments.alias("a").join(moments.select(F.col("uri").alias("u2"), F.col("seq").alias("s2")), (F.col("uri") == F.col("u2")) & (F.col("s2") > F.col("seq")), "left")
-        states[end] = nexts.groupBy("uri", "seq", "value").agg(F.coalesce(F.min("s2"), F.lit(2**62)).alias("until"))
+        # an interval ends with the next update of the same property
+        states[end] = moments.withColumn("until", F.coalesce(F.lead("seq").over(Window.partitionBy("uri").orderBy("seq")), F.lit(2**62)))
     hit = None
     for s in states.values():
         one = s.join(gone.withColumnRenamed("seq", "at"), (F.col("value") == F.col("t")) & (F.col("at") > F.col("seq")) & (F.col("at") < F.col("until"))).select("uri")

@@ -15,10 +15,22 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+#: Time slices of this many seconds bound what one task of a sliding count gets of a hot key.
+SLICE_S = 3600
+
+
 def sliding_count(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """Events with n_window: events of the same key in the last `seconds`, those exactly as old and of the same moment included."""
-    w = Window.partitionBy(key).orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("_t", micros(F.col(ts))).withColumn("n_window", F.count(F.lit(1)).over(w)).drop("_t")
+    """Events with n_window: events of the same key in the last `seconds`, those exactly as old and of the same moment included.
+
+    A key is cut into time slices; the last `seconds` of a slice are also shown to the next one, so every
+    count is whole and no key, however hot, goes to one task. Events without a time count only each other.
+    """
+    width = max(SLICE_S, seconds) * 1_000_000
+    timed = events.withColumn("_t", micros(F.col(ts))).withColumn("_slice", F.floor(F.col("_t") / width).cast("long"))
+    late = timed.where(F.col("_t") >= (F.col("_slice") + 1) * width - seconds * 1_000_000).withColumn("_slice", F.col("_slice") + 1)
+    both = timed.withColumn("_own", F.lit(True)).unionByName(late.withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
+    return both.withColumn("n_window", F.count(F.lit(1)).over(w)).where("_own").drop("_t", "_slice", "_own")
 
 
 def daily_count(events: DataFrame, ts: str) -> DataFrame:

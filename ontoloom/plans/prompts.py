@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Lines to a prompt; more lines make more prompts.
+PAGE = 1000
+
+
 def _joined(lines: DataFrame, empty: str) -> DataFrame:
-    """One row: the lines (seq, line) in order, or `empty`. Prompts are bounded by their readers, so one row holds them."""
+    """(page, prompt): the lines (seq, line) in order, in pages by seq of at most PAGE lines; one page `empty` if there are none.
+
+    seq is a unique number, so a page is bounded and no task holds all lines.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "line")))
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
-    return lines.agg(F.when(F.count(F.lit(1)) == 0, F.lit(empty)).otherwise(text).alias("prompt"))
+    pages = lines.groupBy(F.floor(F.col("seq") / PAGE).cast("long").alias("page")).agg(text.alias("prompt"))
+    none = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).cast("long").alias("page"), F.lit(empty).alias("prompt"))
+    return pages.unionByName(none)
 
 
 def class_lines(classes: DataFrame) -> DataFrame:
@@ -49,14 +58,23 @@ def questions_prompt(questions: DataFrame) -> DataFrame:
 
 
 def errors_prompt(findings: DataFrame) -> DataFrame:
-    """Findings (severity, message) numbered within their severity, errors first."""
+    """(page, prompt) of findings (severity, message), errors first and numbered within severity and page.
+
+    Findings are dealt to as many pages of about PAGE as they need by the hash of their message.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("severity").orderBy("message")
-    lines = findings.withColumn("n", F.row_number().over(w)).select(F.struct("severity", "n").alias("seq"), F.format_string("%s %d: %s", "severity", "n", "message").alias("line"))
-    return _joined(lines, "No errors detected.")
+    pages = max(1, -(-findings.count() // PAGE))
+    w = Window.partitionBy("page", "severity").orderBy("message")
+    dealt = findings.select("severity", "message", F.pmod(F.xxhash64("message"), F.lit(pages)).alias("page"))
+    lines = dealt.withColumn("n", F.row_number().over(w)).select("page", "severity", "n", F.format_string("%s %d: %s", "severity", "n", "message").alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("severity", "n", "line")))
+    out = lines.groupBy("page").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("prompt"))
+    none = findings.agg(F.count(F.lit(1)).alias("k")).where("k = 0").select(F.lit(0).cast("long").alias("page"), F.lit("No errors detected.").alias("prompt"))
+    return out.unionByName(none)
 
 
-def bfo_lines(categories: DataFrame) -> DataFrame:
-    """(seq, line) of the leaf categories."""
-    return categories.where("is_leaf").select(F.col("cat").alias("seq"), F.concat(F.lit("- "), "cat", F.lit(" < "), F.coalesce("parent", F.lit(""))).alias("line"))
+def bfo_prompt(categories: DataFrame) -> DataFrame:
+    """One row: the leaf categories of the upper ontology, a fixed short list, by name."""
+    line = F.concat(F.lit("- "), "cat", F.lit(" < "), F.coalesce("parent", F.lit("")))
+    return categories.where("is_leaf").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("prompt"))

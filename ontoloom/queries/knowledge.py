@@ -263,7 +263,7 @@ def bfo_lineage(s, d):
 
 @_query("SELECT string_agg('- ' || cat || ' < ' || coalesce(parent, ''), chr(10) ORDER BY cat) AS prompt FROM bfo_categories WHERE is_leaf")
 def bfo_prompt(s, d):
-    return prompts._joined(prompts.bfo_lines(table(s, d, "bfo_categories")), "")
+    return prompts.bfo_prompt(table(s, d, "bfo_categories"))
 
 
 # hierarchy
@@ -574,7 +574,7 @@ def class_prompt_lines(s, d):
     return prompts.class_lines(_classes(s, d))
 
 
-@_query(_T + "SELECT string_agg('- ' || uri || ' (domain: ' || coalesce(domain, '') || ', range: ' || coalesce(range, '') || '): ' || coalesce(comment, ''), chr(10) ORDER BY seq) AS prompt FROM prp")
+@_query(_T + "SELECT CAST(seq // 1000 AS BIGINT) AS page, string_agg('- ' || uri || ' (domain: ' || coalesce(domain, '') || ', range: ' || coalesce(range, '') || '): ' || coalesce(comment, ''), chr(10) ORDER BY seq) AS prompt FROM prp GROUP BY 1")
 def properties_prompt(s, d):
     return prompts.properties_prompt(_properties(s, d))
 
