@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ontoloom.runtime import spread
+
 #: Separators from coarse to fine; the empty one cuts between characters.
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 
@@ -62,4 +64,4 @@ def chunk(docs: DataFrame, size: int = 2500, overlap: int = 200) -> DataFrame:
                 ["doc_id", "chunk_ix", "text"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, chunk_ix int, text string")
+    return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, chunk_ix int, text string")

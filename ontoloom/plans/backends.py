@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.functions.json_repair import extract, normalize
+from ontoloom.runtime import spread
 
 MENTIONS = "doc_id bigint, chunk_ix int, pos int, id string, class_uri string, evidence_span string"
 RELATIONS = "doc_id bigint, chunk_ix int, pos int, source_id string, property_uri string, target_id string, evidence_span string"
@@ -80,7 +81,7 @@ class RuleBackend:
                 cols = list(zip(*out, strict=True)) or [()] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], fields)
 
-        return chunks.select("doc_id", "chunk_ix", "text").mapInArrow(run, schema)
+        return spread(chunks.select("doc_id", "chunk_ix", "text"), "doc_id").mapInArrow(run, schema)
 
     def entities(self, chunks: DataFrame) -> DataFrame:
         return self._run(chunks, MENTIONS, lambda t: ((n, c, s) for s, names in self._found(t) for n, c in names))

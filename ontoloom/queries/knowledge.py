@@ -15,7 +15,7 @@ from ontoloom.operators.leader import deduplicate, similar_pairs
 from ontoloom.plans import prompts
 from ontoloom.plans.backends import RuleBackend, batches_of
 from ontoloom.plans.pipeline import populate
-from ontoloom.runtime import table
+from ontoloom.runtime import spread, table
 from ontoloom.sources.readers import prepare
 from ontoloom.streaming import quota
 
@@ -79,7 +79,7 @@ def section_cut(s, d):
 
 @_query(f"SELECT doc_id, {_clean(_CUT)} AS cleaned FROM documents")
 def clean_text(s, d):
-    return table(s, d, "documents").select("doc_id", X.clean(X.section_cut(F.col("text"))).alias("cleaned"))
+    return spread(table(s, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", X.clean(X.section_cut(F.col("text"))).alias("cleaned"))
 
 
 @_query()

@@ -55,6 +55,19 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def spread(df: DataFrame, key: str, like: DataFrame | None = None) -> DataFrame:
+    """`df` over as many partitions as there are cores, if its files give fewer (a single row group, say).
+
+    For the inputs of costly per-row work. Large inputs have more partitions than that and stay as they are, as do
+    plans with a shuffle of their own. like: the scan to count partitions of, where df is more than a scan.
+    """
+    plan = (df if like is None else like)._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Values of `key` that hold at least 1/HOT_SHARE of the rows of `df` (and 1000 rows): at most HOT_SHARE rows."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

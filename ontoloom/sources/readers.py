@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions.splitter import chunk
 from ontoloom.functions.text import clean, section_cut
 from ontoloom.operators.report import run_number
+from ontoloom.runtime import spread
 
 STATE = """approved_classes map<string, struct<comment:string, bfo_parent:string, aristotelian_definition:string, subclass_of:string>>,
   approved_properties map<string, struct<domain:string, range:string, comment:string>>, canonical_terms map<string, string>,
@@ -49,7 +50,7 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
 
 def prepare(docs: DataFrame, size: int = 2500, overlap: int = 200) -> DataFrame:
     """Cut, clean and chunk documents (doc_id, text): doc_id, chunk_ix, text."""
-    return chunk(docs.select("doc_id", clean(section_cut(F.col("text"))).alias("text")), size, overlap)
+    return chunk(spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", clean(section_cut(F.col("text"))).alias("text")), size, overlap)
 
 
 def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
