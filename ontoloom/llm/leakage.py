@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.runtime import spread
+
 #: Words of a training passage and the step from one passage to the next.
 PASSAGE, STEP = 64, 32
 #: BM25.
@@ -199,6 +201,6 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 cols = list(zip(*out, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "n_carried", "n_words"])
 
-        one = docs.select("doc_id", "text").mapInArrow(search, "doc_id bigint, item_id bigint, n_carried int, n_words int")
+        one = spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(search, "doc_id bigint, item_id bigint, n_carried int, n_words int")
         found = one if found is None else found.unionByName(one)
     return found

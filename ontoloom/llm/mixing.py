@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.runtime import checkpoint
+from ontoloom.runtime import checkpoint, spread
 
 #: Public vocabulary whose tokens measure the texts.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -71,7 +71,7 @@ def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(count_tokens(b["text"].to_pylist(), tokenizer, memo), pa.int64())], ["doc_id", "source", "n_tokens"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(sizes, "doc_id bigint, source string, n_tokens bigint")
+    return spread(docs.select("doc_id", "source", "text"), "doc_id").mapInArrow(sizes, "doc_id bigint, source string, n_tokens bigint")
 
 
 def flight(prob: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.runtime import spread
+
 #: Boundaries from strong to weak; a cut falls after the match. Fixed order of the method.
 _LEVELS = [re.compile(p) for p in (r"\r?\n[ \t]*\r?\n\s*|\r[ \t]*\r\s*", r"\r\n|\n|\r", r"[.!?…。！？][\"'”’»)\]]*\s+", r"[;:]\s+|[。！？；：]", r",\s+|\s[–—-]\s", r"\s+")]
 
@@ -122,4 +124,4 @@ def split_documents(docs: DataFrame, settings: DataFrame, with_text: bool = True
     sized = base.join(own, F.col("source") == F.col("_s"), "left").withColumn("_d", rest.scalar())
     sized = sized.select("doc_id", "text", F.coalesce("chunk_size", "_d.chunk_size").alias("size"), F.coalesce("chunk_overlap", "_d.chunk_overlap", F.lit(0)).alias("overlap"))
     schema = "doc_id bigint, piece_ix int, begin int, end int, n_pieces int" + (", piece string" if with_text else "")
-    return sized.where(F.char_length("text") > F.col("size")).mapInArrow(lambda it: _pieces(it, with_text), schema)
+    return spread(sized.where(F.char_length("text") > F.col("size")), "doc_id", base).mapInArrow(lambda it: _pieces(it, with_text), schema)
