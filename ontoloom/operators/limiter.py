@@ -82,3 +82,13 @@ def schedule(events: DataFrame, key: str, ts: str, seq: str, conf: EngineConf) -
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "arrival", "seq")
     return ordered.mapInPandas(run, "key string, seq long, arrival double, admitted double")
+
+
+def status(events: DataFrame, key: str, ts: str, now: Column, conf: EngineConf) -> DataFrame:
+    """(key, in_window, today, can_proceed) at the moment `now`: requests of the last window and of that day, and whether one more fits both quotas."""
+    age = micros(now) - micros(F.col(ts))
+    past = events.where((age >= 0) & (F.to_date(ts) >= F.date_sub(F.to_date(now), 1)))
+    in_window = F.count(F.when(age <= conf.window_s * 1_000_000, 1))
+    today = F.count(F.when(F.to_date(ts) == F.to_date(now), 1))
+    counted = past.groupBy(key).agg(in_window.alias("in_window"), today.alias("today"))
+    return counted.withColumn("can_proceed", (F.col("in_window") < conf.requests_per_minute) & (F.col("today") < conf.requests_per_day))

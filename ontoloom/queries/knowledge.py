@@ -613,6 +613,22 @@ def request_schedule(s, d):
     return limiter.schedule(table(s, d, "events"), "user_id", "ts", "event_id", EngineConf())
 
 
+@_query(
+    """WITH n AS (SELECT max(ts) AS now FROM events) SELECT user_id, count(*) FILTER (ts >= now - INTERVAL 60 SECOND) AS in_window, count(*) FILTER (CAST(ts AS DATE) = CAST(now AS DATE)) AS today,
+  count(*) FILTER (ts >= now - INTERVAL 60 SECOND) < 8 AND count(*) FILTER (CAST(ts AS DATE) = CAST(now AS DATE)) < 18 AS can_proceed
+  FROM events, n WHERE ts <= now AND CAST(ts AS DATE) >= CAST(now AS DATE) - 1 GROUP BY user_id"""
+)
+def rate_status(s, d):
+    """State of every limiter at the time of the last event."""
+    e = table(s, d, "events")
+    return limiter.status(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), EngineConf())
+
+
+@_query()
+def streaming_schedule(s, d):
+    return quota.drain(quota.admissions(quota.event_stream(s, d), "user_id", "event_id", EngineConf()), "append")
+
+
 @_query("SELECT CAST(ts AS DATE) AS day, count(*) AS n_requests FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def streaming_daily_quota(s, d):
     return quota.drain(quota.daily(quota.event_stream(s, d)))

@@ -99,3 +99,19 @@ def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]
     """Requests (prefix, key, ...) with their cached payload, and those without one. The cache is unique in prefix and key."""
     hits = requests.join(cache.select("prefix", "key", "payload"), ["prefix", "key"])
     return hits, requests.join(cache.select("prefix", "key"), ["prefix", "key"], "left_anti")
+
+
+def write_state(tables: dict[str, DataFrame], root: str, run: str) -> None:
+    """Write the tables of one run as JSON lines below root, one folder per table and run; a run that exists is replaced alone."""
+    for name, df in tables.items():
+        df.drop("run").write.mode("overwrite").json(f"{root}/{name}/run={run}")
+
+
+def record_answers(answers: DataFrame, path: str) -> None:
+    """Append answers (prefix, key, payload) to the cache at path; what is recorded already stays as it is."""
+    spark = answers.sparkSession
+    named = answers.groupBy("prefix", "key").agg(F.min("payload").alias("payload"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        named = named.join(spark.read.parquet(path).select("prefix", "key"), ["prefix", "key"], "left_anti")
+    named.write.mode("append").parquet(path)

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ontoloom.conf import EngineConf
+from ontoloom.operators.limiter import admit
 from ontoloom.runtime import _scratch
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -44,3 +49,21 @@ def drain(result: DataFrame, mode: str = "complete") -> DataFrame:
 
     result.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{at}/result")
+
+
+def admissions(stream: DataFrame, key: str, seq: str, conf: EngineConf) -> DataFrame:
+    """(key, seq, arrival, admitted) in seconds as a stream: the schedule of one limiter per key, kept across micro-batches.
+
+    The state of a key is its last window's admissions. Within a micro-batch a key's requests are taken in order of arrival;
+    size micro-batches (maxFilesPerTrigger, maxOffsetsPerTrigger) so that those of a hot key fit a task.
+    """
+    rows = stream.where(F.col("ts").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), (F.unix_micros("ts") / 1e6).alias("arrival"))
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["arrival", "seq"], ignore_index=True)
+        last = list(state.get[0]) if state.exists else []
+        out = pdf.assign(admitted=admit(pdf["arrival"].tolist(), last, conf))
+        state.update((last,))
+        yield out[["key", "seq", "arrival", "admitted"]]
+
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, seq long, arrival double, admitted double", "last array<double>", "append", GroupStateTimeout.NoTimeout)
