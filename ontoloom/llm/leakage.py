@@ -23,9 +23,8 @@ PASSAGE, STEP = 64, 32
 K1, B = 1.2, 0.75
 #: A passage is a candidate for an item from this share of the item's score against itself.
 RETRIEVE = 0.1
-#: Share of an item's words that a document must carry as running text: a third, and above it the one word in
-#: twenty that stands there by chance (articles and conjunctions next to a quotation that is shorter than a third).
-CARRIED = 0.38
+#: A document must carry one in so many of an item's words as running text.
+CARRIED = 3
 #: Items to a block of the index, and items to one index (a longer list is taken in as many as it needs).
 POSTING_BLOCK, INDEX_ITEMS = 16, 4_000
 
@@ -136,11 +135,11 @@ class Index:
             best, begin, end = 0, None, None
             for s in [*starts, None]:
                 if begin is not None and (s is None or s > end):
-                    best = max(best, carried(item, coded[max(0, begin - PASSAGE) : end + PASSAGE], CARRIED * len(item)))
+                    best = max(best, carried(item, coded[max(0, begin - PASSAGE) : end + PASSAGE], len(item) / CARRIED))
                     begin = None
                 if s is not None:
                     begin, end = (s if begin is None else begin), s + PASSAGE
-            if best >= CARRIED * len(item):
+            if best * CARRIED >= len(item):
                 out.append((self.ids[i], best, len(item)))
         return out
 
@@ -148,7 +147,9 @@ class Index:
 def carried(item: np.ndarray, part: np.ndarray, enough: float) -> int:
     """Words of the item that stand in `part` in their order as one run, with few words lost, changed or put between.
 
-    The best local alignment (word 1, lost, changed or added word -0.5). 0 if no alignment can reach `enough`.
+    The best local alignment (word 1, lost, changed or added word -0.5). A single word at either end of it that stands
+    behind lost or added words does not count: articles and conjunctions next to a quotation are found so by chance.
+    0 if no alignment can reach `enough`.
     """
     if len(part) < 2 or len(item) < 2:
         return int(len(item) == 1 and item[0] in part)
@@ -166,16 +167,25 @@ def carried(item: np.ndarray, part: np.ndarray, enough: float) -> int:
         row = np.maximum(np.maximum(score[i - 1, :-1] + gain[i - 1], score[i - 1, 1:] - gap), 0)
         score[i, 1:] = np.maximum.accumulate(row + along) - along
     i, j = np.unravel_index(int(score.argmax()), score.shape)
-    hits = 0
+    hits: list[tuple[int, int]] = []
     while i > 0 and j > 0 and score[i, j] > 1e-6:
         if abs(score[i, j] - (score[i - 1, j - 1] + gain[i - 1, j - 1])) < 1e-4:
-            hits += int(equal[i - 1, j - 1])
             i, j = i - 1, j - 1
+            if equal[i, j]:
+                hits.append((i, j))
         elif abs(score[i, j] - (score[i - 1, j] - gap)) < 1e-4:
             i -= 1
         else:
             j -= 1
-    return hits
+    return len(hits) - _by_chance(hits) - _by_chance(hits[::-1])
+
+
+def _by_chance(hits: list[tuple[int, int]]) -> int:
+    """How many single words (item, part) begin an alignment, each off the diagonal of the next."""
+    n = 0
+    while n + 1 < len(hits) and hits[n][0] - hits[n][1] != hits[n + 1][0] - hits[n + 1][1]:
+        n += 1
+    return n
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -51,3 +51,18 @@ def test_recall_of_the_index():
             brute += 1
             found += i in index.candidates(coded)
     assert brute > 40 and found >= 0.97 * brute
+
+
+def test_a_third():
+    """A third of the words is a case and less is none; a single word of the item behind a gap makes no third."""
+    rnd = random.Random(9)
+    item = rnd.sample(VOCAB, 60)
+    index = Index([1], [item])
+    around = lambda part: " ".join(["foreign"] * 70 + part + ["other"] * 70)
+    for n in (20, 21, 22, 23):
+        for begin in (0, 17, 60 - n):
+            assert index.leaks(around(item[begin : begin + n])) == [(1, n, 60)]
+    assert not index.leaks(around(item[10:29]))
+    assert not index.leaks(around([*item[10:29], item[30]])) and not index.leaks(around([item[8], *item[10:29], item[30]]))
+    altered = [w if i % 10 != 5 else "changed" for i, w in enumerate(item[:24])]
+    assert index.leaks(around(altered)) == [(1, 22, 60)]
