@@ -21,7 +21,8 @@ from ontoloom.runtime import spread
 PASSAGE, STEP = 64, 32
 #: BM25.
 K1, B = 1.2, 0.75
-#: A passage is a candidate for an item from this share of the item's score against itself.
+#: A passage is a candidate for an item from this share of the item's score against itself, or, for an item longer
+#: than a passage, of the part of that score that a passage can hold.
 RETRIEVE = 0.1
 #: A document must carry one in so many of an item's words as running text.
 CARRIED = 3
@@ -91,7 +92,7 @@ class Index:
         self.block_first = np.searchsorted(np.array([t for t, _, _ in tops]), np.arange(len(self.known) + 1))
         self.block, self.block_peak = np.array([b for _, b, _ in tops], np.int64), np.array([x for _, _, x in tops])
         self.term_peak = np.array([self.block_peak[a:z].max() for a, z in zip(self.block_first, self.block_first[1:], strict=False)])
-        self.least = own * RETRIEVE
+        self.least = own * RETRIEVE * np.array([min(1.0, PASSAGE / max(1, len(c))) for c in self.coded])
         self.block_least = np.array([self.least[b : b + POSTING_BLOCK].min() for b in range(0, n, POSTING_BLOCK)])
         self.floor = float(self.least.min()) if n else np.inf
 
@@ -135,7 +136,10 @@ class Index:
             best, begin, end = 0, None, None
             for s in [*starts, None]:
                 if begin is not None and (s is None or s > end):
-                    best = max(best, carried(item, coded[max(0, begin - PASSAGE) : end + PASSAGE], len(item) / CARRIED))
+                    # an alignment spans less than three times the item, so parts of six times the item, overlapping by half, hold it
+                    for a in range(max(0, begin - PASSAGE), end + PASSAGE, 3 * max(len(item), PASSAGE)):
+                        part = coded[a : min(end + PASSAGE, a + 6 * max(len(item), PASSAGE))]
+                        best = max(best, carried(item, part, len(item) / CARRIED))
                     begin = None
                 if s is not None:
                     begin, end = (s if begin is None else begin), s + PASSAGE
@@ -162,14 +166,14 @@ def carried(item: np.ndarray, part: np.ndarray, enough: float) -> int:
     gap, n, m = 0.5, len(item), len(part)
     score = np.zeros((n + 1, m + 1), np.float32)
     along = np.arange(m, dtype=np.float32) * gap
-    gain = np.where(equal, 1.0, -gap).astype(np.float32)
     for i in range(1, n + 1):
-        row = np.maximum(np.maximum(score[i - 1, :-1] + gain[i - 1], score[i - 1, 1:] - gap), 0)
+        gain = np.where(equal[i - 1], np.float32(1), np.float32(-gap))
+        row = np.maximum(np.maximum(score[i - 1, :-1] + gain, score[i - 1, 1:] - gap), 0)
         score[i, 1:] = np.maximum.accumulate(row + along) - along
     i, j = np.unravel_index(int(score.argmax()), score.shape)
     hits: list[tuple[int, int]] = []
     while i > 0 and j > 0 and score[i, j] > 1e-6:
-        if abs(score[i, j] - (score[i - 1, j - 1] + gain[i - 1, j - 1])) < 1e-4:
+        if abs(score[i, j] - (score[i - 1, j - 1] + (1 if equal[i - 1, j - 1] else -gap))) < 1e-4:
             i, j = i - 1, j - 1
             if equal[i, j]:
                 hits.append((i, j))

@@ -66,3 +66,19 @@ def test_a_third():
     assert not index.leaks(around([*item[10:29], item[30]])) and not index.leaks(around([item[8], *item[10:29], item[30]]))
     altered = [w if i % 10 != 5 else "changed" for i, w in enumerate(item[:24])]
     assert index.leaks(around(altered)) == [(1, 22, 60)]
+
+
+def test_long_items():
+    """Items many passages long are found whole, by a third of their words and with one word in five altered."""
+    rnd = random.Random(10)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    items = [text(n) for n in (50, 500, 800, 1200, 2000)]
+    index = Index(list(range(5)), items)
+    for i, item in enumerate(items):
+        n = len(item)
+        whole, third = item, item[n // 4 : n // 4 + -(-n // 3)]
+        altered = [w if rnd.random() > 0.2 else "changed" for w in item]
+        for part in (whole, third, altered):
+            found = index.leaks(" ".join([*text(100), *part, *text(100)]))
+            assert [x[0] for x in found] == [i]
+        assert not index.leaks(" ".join([*text(100), *item[: n // 4], *text(100)]))
