@@ -492,7 +492,7 @@ def knowledge_graph(s, d):
     nouns = {n: f"ex:{n.title()}" for n in _NOUNS}
     classes = s.createDataFrame([(c,) for c in nouns.values() if c != "ex:Complex"], "uri string")
     properties = s.createDataFrame([("ex:comparedWith",)], "uri string")
-    kg = populate(table(s, d, "documents"), classes, properties, RuleBackend(nouns), fuzzy=False)
+    kg = populate(table(s, d, "documents"), classes, properties, RuleBackend(nouns))
     per = kg["entities"].groupBy("class_uri").agg(F.count(F.lit(1)).alias("n_entities"))
     typed = kg["entities"].select(F.col("id").alias("source_id"), "class_uri")
     rels = kg["relations"].join(typed, "source_id").groupBy("class_uri").agg(F.count(F.lit(1)).alias("n_relations"))

@@ -9,6 +9,7 @@ from ontoloom.operators.leader import deduplicate, leaders, similar_pairs
 from ontoloom.plans import prompts
 from ontoloom.plans.backends import ReplayBackend, RuleBackend, batches_of, cache_key, with_retry
 from ontoloom.plans.pipeline import populate
+from ontoloom.queries.knowledge import QUERIES
 from ontoloom.sources import readers
 from pyspark.sql import functions as F
 import pytest
@@ -202,3 +203,20 @@ def test_saved_state(spark, tmp_path):
     assert rows(state["classes"], "run", "uri", "comment", "bfo_parent") == [("run_3", "ex:A", "c", "bfo:Role"), ("run_3", "ex:B", "bare", None)]
     assert rows(state["entities"], "id", "class_uri") == [("x", "ex:A")] and rows(state["relations"], "target_id") == [("y",)] and state["canonical_terms"].count() == 0
     assert rows(state["subclass_edges"], "child", "parent") == [("ex:B", "ex:A")]
+
+
+def test_flagship_merges_similar_names(spark, tmp_path):
+    docs = [(1, "The outer tavo sensor meets a nano bilo oxide."), (2, "Here uter tavo sensor meets a nano bilo oxide.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["class_uri"]: (r["n_entities"], r["n_relations"]) for r in QUERIES["knowledge_graph"](spark, str(tmp_path)).collect()}
+    assert got["ex:Sensor"] == (1, 2)
+
+
+def test_pairs_against_brute_force(spark):
+    """Names long and short, close, inside one another or neither."""
+    rnd = random.Random(12)
+    names = {"".join(rnd.choice(["tavo", "bilo", "nano", "outer", "s", "x", "sensor"]) for _ in range(rnd.randrange(1, 7))) for _ in range(250)}
+    names |= {n[1:] for n in sorted(names)[::3] if len(n) > 1} | {n[:-2] + "q" + n[-2:] for n in sorted(names)[::4]}
+    order = sorted(names)
+    got = {(r["i"], r["j"]) for r in similar_pairs(spark.createDataFrame(list(enumerate(order)), "i long, norm string")).collect()}
+    assert got == {(i, j) for j in range(len(order)) for i in range(j) if alike(order[i], order[j])}
