@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ontoloom.runtime import checkpoint, lookup
+from ontoloom.runtime import checkpoint, hot_keys, lookup
 
 #: One node in so many is a splitter; walks to the next splitter are about this long.
 SPLIT_EVERY = 8
-#: Nodes with at least this many children are splitters too, so that walks never meet on a hot node.
-HOT_PARENT = 64
-#: Pointer tables of up to so many rows are followed in one task; larger ones by joins.
-LOCAL = 50_000
+#: Pointers are joined this often in a job; each job makes them HOPS + 1 times as long.
+HOPS = 3
 
 
 def parent_links(rows: DataFrame, node: str, parent: str, order: str) -> DataFrame:
@@ -24,65 +19,46 @@ def parent_links(rows: DataFrame, node: str, parent: str, order: str) -> DataFra
     return rows.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(first.alias("f")).select("node", F.col("f.p").alias("parent"))
 
 
-def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The result of `_walk`, without paths, for a whole pointer table of at most LOCAL rows."""
-    pdf = pd.concat([pd.DataFrame({"node": [], "nxt": [], "d": [], "low": [], "stop": []}), *batches], ignore_index=True)
-    at = {n: (x, d, low, stop) for n, x, d, low, stop in zip(pdf["node"], pdf["nxt"], pdf["d"], pdf["low"], pdf["stop"], strict=True)}
-    done: dict[str, tuple[str, int, str, bool]] = {}
-    for start in at:
-        path, place, n = [], {}, start
-        while n not in done and n not in place:
-            place[n] = len(path)
-            path.append(n)
-            if at[n][3] or at[n][0] not in at:
-                break
-            n = at[n][0]
-        if n in place and not (at[n][3] or at[n][0] not in at):  # the path closes on itself
-            ring = path[place[n] :]
-            low = min(at[x][2] for x in ring)
-            done |= {x: (x, 1, low, False) for x in ring}
-            path = path[: place[n]]
-        for x in reversed(path):
-            nxt, d, low, stop = at[x]
-            if stop or nxt not in at:
-                done[x] = (nxt, d, low, True)
-            else:
-                end, more, least, stopped = done[nxt]
-                done[x] = (end, d + more, min(low, least), True) if stopped else (end, 1, least, False)
-    yield pd.DataFrame([(n, *x) for n, x in done.items()], columns=["node", "nxt", "d", "low", "stop"])
-
-
-def _walk(ptr: DataFrame, with_paths: bool, local: int) -> DataFrame:
-    """Pointer doubling until every pointer has stopped.
-
-    A table of at most `local` rows is followed in one task instead, with the same result.
-    ptr: node, nxt, d (steps), low (smallest node among node and those walked, without nxt), stop (nxt ends the walk)
-    and, with_paths, seg (nodes after `node` up to and including nxt). Returns the same columns; a pointer
-    that runs on a cycle without a stop comes back with stop = false, nxt on the cycle and low the
+def _advance(ptr: DataFrame, with_paths: bool) -> DataFrame:
+    """Open pointers of `ptr`, HOPS times replaced by that of the node they point to, or as far as they get."""
+    seg = ["seg"] if with_paths else []
+    more = ["concat(seg, coalesce(_seg, cast(array() as array<string>))) as seg"] if with_paths else []
+    rest = [c for c in ptr.columns if c not in ("nxt", "d", "low", "stop", "seg")]
+    nxt = ptr.selectExpr("node as _k", "-1 as _s", *[f"{c} as _{c}" for c in ("nxt", "d", "low", "stop", *seg)])
+    moved = ptr.where("not stop")
+    for _ in range(HOPS):
+        # pointers that have stopped on the way meet no row and are spread by a salt
+        keyed = moved.selectExpr("*", "if(stop, null, nxt) as _to", "if(stop, pmod(hash(node), 65536), -1) as _salt")
+        both = keyed.join(nxt, F.expr("_to <=> _k and _salt = _s"), "left")
+        moved = both.selectExpr(*rest, "coalesce(_nxt, nxt) as nxt", "d + coalesce(_d, 0) as d", "least(low, _low) as low", "coalesce(_stop, true) as stop", *more)
+    return moved
+
+
+def _written(ptr: DataFrame, replaces: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """A written pointer table and the number of its open pointers, counted on the way."""
+    seen = Observation()
+    out = checkpoint(ptr.observe(seen, F.expr("count_if(not stop) as open")), replaces=replaces)
+    return out, seen.get["open"]
+
+
+def _walk(start: DataFrame, with_paths: bool) -> DataFrame:
+    """Follow all pointers until they have stopped.
+
+    start: node, nxt, d (steps), low (smallest node among node and those walked, without nxt), stop (nxt ends the walk)
+    and, with_paths, seg (nodes after `node` up to and including nxt); other columns stay. Returns the same columns;
+    a pointer that runs on a cycle without a stop comes back with stop = false, nxt on the cycle and low the
     smallest node of the cycle.
     """
-    if not with_paths and ptr.count() <= local:
-        done = ptr.select("node", "nxt", "d", "low", "stop").coalesce(1).mapInPandas(_follow, "node string, nxt string, d int, low string, stop boolean")
-        return checkpoint(done, replaces=ptr)
     # An open pointer has passed `hops` nodes. Of a way that ends, only the nodes more than `hops` before its end are
     # open, so no such way is longer than hops + open nodes; what is still open beyond that goes round.
+    ptr, open_n = _written(start)
     hops, most = 1, None
-    open_n = ptr.where(~F.col("stop")).count()
     while open_n:
         most = min(hops + open_n, most or hops + open_n)
         if hops > most:
             break
-        nxt = ptr.select(
-            F.col("node").alias("nxt"), F.col("nxt").alias("_n"), F.col("d").alias("_d"), F.col("low").alias("_l"), F.col("stop").alias("_s"), *([F.col("seg").alias("_g")] if with_paths else [])
-        )
-        # a pointer table is narrow; where many pointers share a target, adaptive execution splits that partition
-        moved = ptr.where(~F.col("stop")).join(nxt, "nxt", "left").select(
-            "node", F.coalesce("_n", "nxt").alias("nxt"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d"), F.least("low", "_l").alias("low"), F.coalesce("_s", F.lit(True)).alias("stop"),
-            *([F.concat("seg", F.coalesce("_g", F.array().cast("array<string>"))).alias("seg")] if with_paths else []),
-        )
-        seen = Observation()  # counts while the table is written
-        ptr = checkpoint(ptr.where("stop").unionByName(moved).observe(seen, F.count_if(~F.col("stop")).alias("open")), replaces=ptr)
-        hops, open_n = hops * 2, seen.get["open"]
+        ptr, open_n = _written(ptr.where("stop").unionByName(_advance(ptr, with_paths)), replaces=ptr)
+        hops *= HOPS + 1
     else:
         return ptr
     # what is still open runs on cycles: from a node on the cycle the walk has covered the whole cycle
@@ -92,7 +68,7 @@ def _walk(ptr: DataFrame, with_paths: bool, local: int) -> DataFrame:
     return checkpoint(ptr.where("stop").unionByName(looped), replaces=ptr)
 
 
-def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT_EVERY, local: int = LOCAL) -> DataFrame:
+def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT_EVERY) -> DataFrame:
     """Solve a table of links (node unique and not null, parent or null) of any shape.
 
     Deterministic hash splitters cut the ways up into short walks; every node walks to its next splitter
@@ -104,37 +80,33 @@ def resolve(links: DataFrame, with_paths: bool = False, split_every: int = SPLIT
     nodes whose way up never ends). A parent without a row of its own is a root. Empty input gives
     an empty result; an empty string is a node like any other.
     """
-    solved = _solve(links, False, split_every, local)
+    solved = _solve(links, False, split_every)
     if not with_paths:
         return solved
     # paths are gathered over the ways that end; those that go round would grow without end
     solved = checkpoint(solved)
-    paths = _solve(links.join(solved.where("depth >= 0").select("node"), "node", "left_semi"), True, split_every, local)
+    paths = _solve(links.join(solved.where("depth >= 0").select("node"), "node", "left_semi"), True, split_every)
     return paths.unionByName(solved.where("depth < 0").withColumn("path", F.lit(None).cast("array<string>")))
 
 
-def _solve(links: DataFrame, with_paths: bool, split_every: int, local: int) -> DataFrame:
-    fan = links.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-    known = links.join(fan, "node", "left").select(
-        "node", "parent", (F.pmod(F.xxhash64("node"), F.lit(split_every)) == 0).alias("h"), (F.coalesce("children", F.lit(0)) >= HOT_PARENT).alias("hot")
-    )
-    known = known.select("node", "parent", (F.col("h") | F.col("hot") | F.col("parent").isNull()).alias("split"))
-    known = checkpoint(known)
-    target = known.select(F.col("node").alias("parent"), F.col("split").alias("_split"))
-    first = lookup(known.where(F.col("parent").isNotNull()), target, "parent").select(
-        "node", F.col("parent").alias("nxt"), F.lit(1).alias("d"), F.col("node").alias("low"), F.coalesce("_split", F.lit(True)).alias("stop"), "split", *([F.array("parent").alias("seg")] if with_paths else [])
-    )
-    first = checkpoint(first)
-    splitting = checkpoint(first.where("split").select("node"))
-    walked = _walk(checkpoint(first.drop("split"), replaces=first), with_paths, local)
-    roots = known.where(F.col("parent").isNull()).select(F.col("node"))
-
-    # the reduced graph: splitters pointing to splitters; anything that isn't a splitter with a parent is an end
-    splitters = walked.where("stop").join(splitting, "node", "left_semi")
-    going = splitters.select(F.col("node").alias("nxt"), F.lit(False).alias("_end"))
-    reduced = splitters.drop("stop").join(going, "nxt", "left").withColumn("stop", F.coalesce("_end", F.lit(True))).drop("_end")
+def _solve(links: DataFrame, with_paths: bool, split_every: int) -> DataFrame:
+    links = checkpoint(links.select("node", "parent"))
+    # parents with a thousandth of the rows are splitters too, so that no walk goes on from a hot node; at most HOT_SHARE rows
+    hot = hot_keys(links, "parent").withColumnRenamed("parent", "_hot")
+
+    def splits(rows: DataFrame, name: str, flag: str) -> DataFrame:
+        joined = rows.join(F.broadcast(hot), F.col(name) == F.col("_hot"), "left")
+        return joined.withColumn(flag, (F.pmod(F.xxhash64(name), F.lit(split_every)) == 0) | F.col("_hot").isNotNull()).drop("_hot")
+
+    first = splits(splits(links.where(F.col("parent").isNotNull()), "node", "split"), "parent", "stop")
+    seg = [F.array("parent").alias("seg")] if with_paths else []
+    walked = _walk(first.select("node", F.col("parent").alias("nxt"), F.lit(1).alias("d"), F.col("node").alias("low"), "stop", "split", *seg), with_paths)
+    roots = links.where(F.col("parent").isNull()).select("node")
+
+    # the reduced graph: splitters pointing to splitters; anything else, which has no row here, is an end
+    reduced = walked.where(F.col("stop") & F.col("split")).drop("split").withColumn("stop", F.lit(False))
     # splitters whose walk ends in a splitterless cycle count as ends too, and hand that cycle on
-    solved = _walk(checkpoint(reduced), with_paths, local)
+    solved = _walk(reduced, with_paths)
     loops = walked.where(~F.col("stop")).select(F.col("node"), F.col("low").alias("cycle"))
     ends = solved.join(loops.withColumnRenamed("node", "nxt"), "nxt", "left").select(
         "node",

@@ -18,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The folder for tables that cut lineages: spark.checkpoint.dir, which all executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:  # tests and local runs
+    """The folder for tables that cut lineages: spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a temporary folder of this machine will do in local mode; on a cluster, whose executors would each
+    write to a disk of their own, that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = found.get()

@@ -40,7 +40,6 @@ def test_shapes(spark):
     parents |= {f"h{i}": "hub" for i in range(200)} | {"hub": None, "self": "self", "": "hub", "é ü": ""}
     parents |= {f"r{i}": f"r{(i + 1) % 37}" for i in range(37)} | {"into": "r5", "above": "into"} | {"a": "b", "b": "a"}
     assert solve(spark, parents) == no_paths(parents)
-    assert solve(spark, parents, local=0) == no_paths(parents)
     assert solve(spark, parents, with_paths=True) == walk(parents)
 
 
