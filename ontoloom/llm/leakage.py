@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.runtime import spread
+from ontoloom.runtime import checkpoint, spread
 
 #: Words of a training passage and the step from one passage to the next.
 PASSAGE, STEP = 64, 32
@@ -26,8 +26,12 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.1
 #: A document must carry one in so many of an item's words as running text.
 CARRIED = 3
-#: Items to a block of the index, and items to one index (a longer list is taken in as many as it needs).
-POSTING_BLOCK, INDEX_ITEMS = 16, 4_000
+#: A part of an item counts if so many of its words stand in a row, at least DENSE of them unchanged, with as few words put
+#: between; several such parts of one document add up.
+RUN, DENSE = 8, 2 / 3
+#: Items to a block of postings, items to one index, and indexes held against the documents in one reading; a longer list
+#: takes more readings. Statistics are those of the whole list, so results do not depend on these numbers.
+POSTING_BLOCK, INDEX_ITEMS, INDEXES = 16, 4_000, 5
 
 _TAG = re.compile(r"</?[a-zA-Z]{1,8}(?:\s[^<>]{0,80})?/?>|\[\d{1,3}\]|\(\*\)")
 _HYPHEN = re.compile(r"(?<=\w)[-‐­]\s*[\r\n]+\s*(?=\w)")
@@ -65,21 +69,28 @@ class Index:
 
     ids: list[int]
     items: list[list[str]]
+    freqs: list[list[int]] | None = None  # items of the whole list that have each pair of each item; None: these are all
+    total: tuple[int, float] | None = None  # items of the whole list and their pairs on average
     terms: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.terms = {w: i for i, w in enumerate(sorted({w for ws in self.items for w in ws}))}
         self.coded = [np.array([self.terms[w] for w in ws], np.int64) for ws in self.items]
+        self.single = any(len(c) == 1 for c in self.coded)
         pairs = [self._pairs(c) for c in self.coded]
-        n, avg = len(self.items), max(1.0, sum(map(len, pairs)) / max(1, len(pairs)))
-        self.known = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        n = len(self.items)
+        everything, avg = self.total or (n, max(1.0, sum(map(len, pairs)) / max(1, len(pairs))))
+        self.known = np.unique(np.concatenate(pairs)) if n else np.zeros(0, np.int64)
         place = [np.searchsorted(self.known, p) for p in pairs]
         df = np.bincount(np.concatenate([np.unique(p) for p in place]), minlength=len(self.known)) if n else np.zeros(0)
+        if self.freqs is not None:
+            for p, f in zip(place, self.freqs, strict=True):
+                df[p] = f
         rows: list[tuple[int, int, float]] = []
         own = np.zeros(n)
         for i, p in enumerate(place):
             for t, tf in Counter(p.tolist()).items():
-                x = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / avg))
+                x = math.log(1 + (everything - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / avg))
                 rows.append((t, i, x))
                 own[i] += x
         rows.sort()
@@ -123,45 +134,64 @@ class Index:
                 found.setdefault(i, []).append(s)
         return found
 
-    def leaks(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, words carried, words of the item) for every item of which the text carries enough."""
+    def leaks(self, found_words: list[str]) -> list[tuple[int, int, int]]:
+        """(item_id, words carried, words of the item) for every item of which a text with these words carries enough."""
         none = len(self.terms)
         get = self.terms.get
-        coded = np.array([get(w, none) for w in words(text)], np.int64)
-        if len(coded) < 2 or not len(self.known):
+        coded = np.array([get(w, none) for w in found_words], np.int64)
+        if not len(coded) or not self.ids:
             return []
-        out = []
+        out = [(self.ids[i], 1, 1) for i, c in enumerate(self.coded) if len(c) == 1 and c[0] in coded] if self.single else []
+        if len(coded) < 2 or not len(self.known):
+            return out
         for i, starts in self.candidates(coded).items():
             item = self.coded[i]
-            best, begin, end = 0, None, None
+            enough, most = len(item) / CARRIED, 0
+            covered = np.zeros(len(item), bool)
+            begin, end = None, None
             for s in [*starts, None]:
                 if begin is not None and (s is None or s > end):
                     # an alignment spans less than three times the item, so parts of six times the item, overlapping by half, hold it
                     for a in range(max(0, begin - PASSAGE), end + PASSAGE, 3 * max(len(item), PASSAGE)):
                         part = coded[a : min(end + PASSAGE, a + 6 * max(len(item), PASSAGE))]
-                        best = max(best, carried(item, part, len(item) / CARRIED))
+                        most = max(most, _parts(item, part, covered))
                     begin = None
                 if s is not None:
                     begin, end = (s if begin is None else begin), s + PASSAGE
-            if best * CARRIED >= len(item):
+            best = max(most, int(covered.sum()))
+            if best >= enough:
                 out.append((self.ids[i], best, len(item)))
         return out
 
 
-def carried(item: np.ndarray, part: np.ndarray, enough: float) -> int:
-    """Words of the item that stand in `part` in their order as one run, with few words lost, changed or put between.
-
-    The best local alignment (word 1, lost, changed or added word -0.5). A single word at either end of it that stands
-    behind lost or added words does not count: articles and conjunctions next to a quotation are found so by chance.
-    0 if no alignment can reach `enough`.
-    """
-    if len(part) < 2 or len(item) < 2:
-        return int(len(item) == 1 and item[0] in part)
+def _parts(item: np.ndarray, part: np.ndarray, covered: np.ndarray) -> int:
+    """Mark in `covered` the words of `item` in dense runs of `part`; return the words of its best alignment, dense or not."""
+    if len(part) < 2:
+        return 0
+    least = min(RUN, max(2, len(item) // CARRIED))
     pair = np.isin(item[:-1] << 32 | item[1:], part[:-1] << 32 | part[1:])
-    covered = np.append(pair, False)
-    covered[1:] |= pair
-    if covered.sum() < 0.6 * enough:  # fewer than three in five words stand beside a neighbour of theirs
+    near = np.append(pair, False)
+    near[1:] |= pair
+    if near.sum() < 0.6 * least:  # fewer than three in five words of a run stand beside a neighbour of theirs
         return 0
+    hits = aligned(item, part)
+    if len(hits) < least:
+        return len(hits)
+    (i, j), (y, z) = hits[0], hits[-1]
+    if len(hits) >= DENSE * max(y - i + 1, z - j + 1):
+        covered[i : y + 1] = True
+    # other runs may stand before or behind this one
+    _parts(item, part[:j], covered)
+    _parts(item, part[z + 1 :], covered)
+    return len(hits)
+
+
+def aligned(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Places (in item, in part) of the equal words of the best local alignment (word 1, lost, changed or added word -0.5).
+
+    A single word at either end of it that stands behind lost or added words is left out: articles and conjunctions
+    next to a quotation are found so by chance.
+    """
     equal = item[:, None] == part[None, :]
     gap, n, m = 0.5, len(item), len(part)
     score = np.zeros((n + 1, m + 1), np.float32)
@@ -176,12 +206,13 @@ def carried(item: np.ndarray, part: np.ndarray, enough: float) -> int:
         if abs(score[i, j] - (score[i - 1, j - 1] + (1 if equal[i - 1, j - 1] else -gap))) < 1e-4:
             i, j = i - 1, j - 1
             if equal[i, j]:
-                hits.append((i, j))
+                hits.append((int(i), int(j)))
         elif abs(score[i, j] - (score[i - 1, j] - gap)) < 1e-4:
             i -= 1
         else:
             j -= 1
-    return len(hits) - _by_chance(hits) - _by_chance(hits[::-1])
+    late, early = _by_chance(hits), _by_chance(hits[::-1])
+    return hits[late : len(hits) - early][::-1]
 
 
 def _by_chance(hits: list[tuple[int, int]]) -> int:
@@ -189,29 +220,55 @@ def _by_chance(hits: list[tuple[int, int]]) -> int:
     n = 0
     while n + 1 < len(hits) and hits[n][0] - hits[n][1] != hits[n + 1][0] - hits[n + 1][1]:
         n += 1
-    return n
+    return n if n + 1 < len(hits) else 0
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and pairs of neighbouring words of every item that has any."""
+    for b in batches:
+        rows = [(i, w) for i, t in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True) if t and (w := words(t))]
+        pairs = [[f"{x} {y}" for x, y in zip(w, w[1:], strict=False)] for _, w in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.string()))], ["item_id", "words", "pairs"])
+
+
+def indexed(items: DataFrame) -> tuple[DataFrame, tuple[int, float]]:
+    """item_id, words and, for each pair of neighbours, the number of items that have it; the number of items and their mean of pairs."""
+    # rows with the same id and text are one item
+    listed = checkpoint(items.select("item_id", "text").distinct().mapInArrow(_listed, "item_id bigint, words array<string>, pairs array<string>").withColumn("row", F.monotonically_increasing_id()))
+    flat = listed.select("row", F.posexplode("pairs").alias("pos", "pair"))
+    df = flat.groupBy("pair").agg(F.count_distinct("row").alias("df"))
+    freqs = flat.join(df, "pair").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "df"))), lambda x: x["df"]).alias("freqs"))
+    n, mean = listed.agg(F.count(F.lit(1)), F.avg(F.size("pairs"))).first()
+    return listed.join(freqs, "row", "left").select("item_id", "words", F.coalesce("freqs", F.array().cast("array<bigint>")).alias("freqs")), (n, max(1.0, mean or 0.0))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Every document that carries at least a third of a test item's words as running text, with the item.
 
-    docs: doc_id, text; items: item_id, text. The stated set of test items is indexed in blocks of INDEX_ITEMS and
-    held against all passages of all documents, whole texts; the passages overlap by half. Null and empty texts
-    leak nothing; repeated documents are reported each.
+    docs: doc_id, text; items: item_id, text. The stated set of test items is indexed in blocks of INDEX_ITEMS, INDEXES of
+    which are held against all passages of all documents, whole texts, in one reading; the passages overlap by half. An
+    item may be carried in several runs, whose words add up. An item of one word is carried by texts with that word.
+    Null and empty texts leak nothing; repeated documents are reported each.
     Returns doc_id, item_id, n_carried, n_words.
     """
     spark = docs.sparkSession
-    total = items.count()
-    parts = max(1, -(-total // INDEX_ITEMS))
+    listed, total = indexed(items)
+    blocks = max(1, -(-total[0] // INDEX_ITEMS))
+    listed = checkpoint(listed.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))))
     found = None
-    for k in range(parts):
-        rows = items.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)).orderBy(*(["lang"] if "lang" in items.columns else []), "item_id").select("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], w) for r in rows if (w := words(r["text"]))])
+    for k in range(0, blocks, INDEXES):
+        shared = []
+        for j in range(k, min(blocks, k + INDEXES)):
+            rows = listed.where(F.col("block") == j).orderBy("item_id", "words").collect()  # about INDEX_ITEMS
+            shared.append(spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["words"] for r in rows], [r["freqs"] for r in rows])))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index([i for i, _ in shared.value], [w for _, w in shared.value])
+            indexes = [Index(*x.value, total) for x in shared]
             for b in batches:
-                out = [(d, *x) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) if t for x in index.leaks(t)]
+                out = []
+                for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                    if t and (w := words(t)):
+                        out += {(d, *x) for index in indexes for x in index.leaks(w)}
                 cols = list(zip(*out, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "n_carried", "n_words"])
 
