@@ -63,7 +63,7 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ontology_classes")
-    values = [rows.select(F.col("class_row_id").alias("row_key"), "source", F.lit(f).alias("field"), F.lit("en").alias("lang"), F.col(f).alias("text")) for f in ("aristotelian_definition", "comment")]
+    values = [rows.select(F.col("class_row_id").alias("row_key"), "source", F.lit(f).alias("field"), F.lit(None).cast("string").alias("lang"), F.col(f).alias("text")) for f in ("aristotelian_definition", "comment")]
     return truncation.truncated(values[0].unionByName(values[1]))
 
 
