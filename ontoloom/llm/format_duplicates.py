@@ -4,23 +4,31 @@ from __future__ import annotations
 
 import ast
 import json
-import re
 import unicodedata
+from decimal import Decimal
 from hashlib import blake2b
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.runtime import HOT_SHARE, checkpoint, lookup
 
-_NOT_ALNUM = re.compile(r"[^\w]|_")
+#: Everything but letters, figures and the marks that belong to letters (not the selectors of a glyph's variant).
+_NOT_ALNUM = regex.compile(r"[^\p{L}\p{N}\p{M}]|[\uFE00-\uFE0F\u20E3]")
 
 
 def leaf(value: object) -> str:
-    """A leaf without case, white space, punctuation and symbols; letters with accents and other scripts stay."""
+    """A leaf without case, white space, punctuation and symbols; letters with accents or vowel signs and other scripts stay.
+
+    A number is written in one way, with its sign and point, which are no punctuation there; a whole one equals its figures as text.
+    """
     if value is None:
         return "\x00"
+    if isinstance(value, int | float | Decimal) and not isinstance(value, bool):
+        number = Decimal(str(value))
+        return format(number.normalize() + 0, "f") if number.is_finite() and abs(number.adjusted()) < 400 else str(number)
     text = value if isinstance(value, str) else json.dumps(value)
     return _NOT_ALNUM.sub("", unicodedata.normalize("NFC", text).casefold().replace("ς", "σ"))
 
@@ -44,7 +52,7 @@ def merkle(value: object) -> tuple[bytes, str]:
 def parse_record(payload: str) -> object:
     """A JSON record, or one written like JSON with single quotes and Python constants; else the text itself as a leaf."""
     try:
-        return json.loads(payload, strict=False)
+        return json.loads(payload, strict=False, parse_float=Decimal)
     except ValueError:
         pass
     try:
@@ -66,8 +74,8 @@ def _compose(text: pd.Series) -> pd.Series:
     return text.map(leaf, na_action="ignore")
 
 
-#: Combining marks, and letters that folding case turns into several or into others: text with them takes the Python way.
-_SPECIAL = r"[\p{M}\x{DF}\x{130}\x{149}\x{17F}\x{1F0}\x{345}\x{390}\x{3B0}\x{587}\x{1E96}-\x{1E9E}\x{1F50}-\x{1FFC}\x{13A0}-\x{13FD}\x{AB70}-\x{ABBF}\x{FB00}-\x{FB17}\x{212A}\x{212B}\x{2126}]"
+#: Combining marks, parts of Hangul syllables, and letters that folding case turns into several or into others: text with them takes the Python way.
+_SPECIAL = r"[\p{M}\x{1100}-\x{11FF}\x{A960}-\x{A97C}\x{D7B0}-\x{D7FB}\x{DF}\x{130}\x{149}\x{17F}\x{1F0}\x{345}\x{390}\x{3B0}\x{587}\x{1E96}-\x{1E9E}\x{1F50}-\x{1FFC}\x{13A0}-\x{13FD}\x{AB70}-\x{ABBF}\x{FB00}-\x{FB17}\x{212A}\x{212B}\x{2126}]"
 
 
 def canonical(text: Column) -> Column:

@@ -38,6 +38,28 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "chunk_settings"))
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized document put together again from its pieces, with the pieces that break a limit."""
+    docs, settings = table(spark, d, "documents"), table(spark, d, "chunk_settings")
+    pieces = splitting.split_documents(docs, settings)
+    whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_ix", "begin", "end", "piece"))).alias("p"))  # no more than a text
+    # fresh text of each piece: what lies behind the end of the piece before
+    ends = F.transform("p", lambda x, i: F.when(i == 0, 0).otherwise(F.get("p", i - 1)["end"]))
+    fresh = F.zip_with("p", ends, lambda x, e: F.substring(x["piece"], e - x["begin"] + 1, 2147483647))
+    shared = F.zip_with("p", ends, lambda x, e: e - x["begin"])
+    rest = settings.where("source = '*'").select(F.struct("chunk_size", "chunk_overlap").alias("_d"))
+    own = settings.where("source <> '*'").select(F.col("source").alias("_s"), "chunk_size", "chunk_overlap")
+    limits = docs.select("doc_id", "source").join(own, F.col("source") == F.col("_s"), "left").withColumn("_d", rest.scalar())
+    limits = limits.select("doc_id", F.coalesce("chunk_size", "_d.chunk_size").alias("size"), F.coalesce("chunk_overlap", "_d.chunk_overlap").alias("overlap"))
+    return whole.join(limits, "doc_id").select(
+        "doc_id",
+        F.md5(F.array_join(fresh, "")).alias("text_md5"),
+        F.size(F.filter("p", lambda x: (F.char_length(x["piece"]) > F.col("size")) | (F.char_length(x["piece"]) != x["end"] - x["begin"]))).cast("long").alias("n_too_long"),
+        F.size(F.filter(shared, lambda x: (x > F.col("overlap")) | (x < 0))).cast("long").alias("n_wrong_overlap"),
+        F.exists("p", lambda x: x["begin"] > 0).alias("is_split"),
+    )
+
+
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
     bfo, terms = table(spark, d, "bfo_categories"), table(spark, d, "term_reference")
     parts = []
@@ -112,9 +134,12 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), n_spam.alias("n_spam"), F.round(n_spam / F.count(F.lit(1)), 6).alias("spam_rate"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_pieces, p4_found, p4_unmatched, p6_found, p6_rates, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_pieces, p2_rebuilt, p4_found, p4_unmatched, p6_found, p6_rates, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_sources)}
 
 SQL = {
+    "p2_rebuilt": """SELECT doc_id, md5(text) AS text_md5, 0::BIGINT AS n_too_long, 0::BIGINT AS n_wrong_overlap, true AS is_split
+  FROM documents d LEFT JOIN chunk_settings s ON s.source = d.source AND s.source <> '*'
+  WHERE length(text) > coalesce(s.chunk_size, (SELECT chunk_size FROM chunk_settings WHERE source = '*'))""",
     "p2_found": """SELECT doc_id FROM documents d LEFT JOIN chunk_settings s ON s.source = d.source AND s.source <> '*'
   WHERE length(text) > coalesce(s.chunk_size, (SELECT chunk_size FROM chunk_settings WHERE source = '*'))""",
 }

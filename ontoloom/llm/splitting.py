@@ -42,15 +42,16 @@ def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     snapped to the strongest boundary near it; when a piece breaks its limit, or the last one can't hold
     what is left, one more piece is tried. The overlap begins at the strongest boundary within its reach, so
     it is at most, and usually a little under, `overlap`; where a text has no boundary it is exact. A text that
-    fits is one span; an empty text has none. The overlap is held below half of the size.
+    fits is one span; an empty text has none. An overlap that is not below the size is an error, as pieces could not advance.
     """
+    size, overlap = max(1, size), max(0, overlap)
+    if overlap >= size:
+        raise ValueError(f"an overlap of {overlap} leaves no room in pieces of {size}")
     n = len(text)
     if n == 0:
         return []
     if n <= size:
         return [(0, n)]
-    size = max(1, size)
-    overlap = max(0, min(overlap, size // 2))
     step = size - overlap
     count = -(-(n - overlap) // step)
     while True:
@@ -74,8 +75,8 @@ def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
         if all(b - a <= size for a, b in spans) and all(x[1] < y[1] for x, y in zip(spans, spans[1:], strict=False)):
             return spans
         count += 1
-        if count > 2 * n:  # one character a piece fits any size
-            return [(i, min(n, i + size)) for i in range(0, n, size)]
+        if count > 2 * n:  # windows without regard to boundaries fit any size
+            return [(i, min(n, i + size)) for i in range(0, n - overlap, step)]
 
 
 def _snap_back(text: str, cut: int, overlap: int, floor: int) -> int:

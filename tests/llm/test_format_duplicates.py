@@ -11,6 +11,10 @@ def test_leaf_and_merkle():
     assert leaf("  Lower·Vokohofa–Sensor ") == leaf("<LOWER_VOKOHOFA_SENSOR>") == "lowervokohofasensor"
     assert leaf("désaéré") == leaf(unicodedata.normalize("NFD", "DÉSAÉRÉ")) != leaf("desaere")
     assert leaf("Straße") == leaf("STRASSE") and leaf("Σίγμας") == leaf("ΣΊΓΜΑΣ") and leaf("β") != leaf("b")
+    assert leaf(1.5) != leaf(15) and leaf(-3) != leaf(3) and leaf(1.0) == leaf(1) == leaf("1") and leaf(True) != leaf(1) and leaf(1e300) != leaf(float("inf"))
+    assert len({leaf(x) for x in ("क", "का", "कि", "की")}) == 4 and len({leaf(x) for x in ("ที่", "ที", "ท")}) == 3 and leaf("क-का") == leaf("कका")
+    assert leaf(unicodedata.normalize("NFD", "한국")) == leaf("한국") and leaf("a\ufe0f") == "a"
+    assert parse_record('{"x": 1.50}') == parse_record('{"x": 1.5}') and merkle(parse_record('{"x": 1.50}')) != merkle(parse_record('{"x": 150}'))
     a, b = {"id": "A-b", "Sub": {"x": [1, "Y"], "n": None}}, {"SUB": {"N": None, "X": ["1", "y "]}, "Id": "a B"}
     assert merkle(a) == merkle(b)
     assert merkle({"x": None}) != merkle({"x": ""}) and merkle({"x": None}) != merkle({}) and merkle(["a", "b"]) != merkle(["b", "a"])
@@ -23,6 +27,12 @@ def test_text_records(spark):
     assert found(text_records(df, "t", "k", "id")) == {(1, 2), (1, 10), (4, 5), (6, 7), (8, 9), (11, 12)}
 
 
+def test_scripts(spark):
+    ids = ["का", "क", "कि", "क ा", unicodedata.normalize("NFD", "한국"), "한국", "한 국"]
+    df = spark.createDataFrame(list(enumerate(ids)), "k long, id string")
+    assert found(text_records(df, "t", "k", "id")) == {(0, 3), (4, 5), (4, 6)}
+
+
 def test_nested_records(spark):
     rows = [
         (1, "entity", '{"id": "a_b", "class_uri": "ex:C"}'), (2, "Entity", "{'CLASS_URI' : 'ex:c' , 'Id' : '\"A b\"' }"), (3, "class", '{"id": "a_b", "class_uri": "ex:C"}'),

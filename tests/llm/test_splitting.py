@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -19,7 +20,17 @@ def check(text, size, overlap):
 
 @given(st.text(alphabet="ab .\n,;\r", max_size=400), st.integers(1, 60), st.integers(0, 80))
 def test_invariants(text, size, overlap):
-    check(text, size, overlap)
+    check(text, size, overlap % size)
+
+
+def test_overlap():
+    """Any overlap below the size is honoured, and is exact where a text has no boundaries; one that is not below it is an error."""
+    for size, overlap in ((10, 8), (10, 9), (100, 60), (7, 0)):
+        spans = check("x" * 500, size, overlap)
+        assert all(b - c == overlap for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    for size, overlap in ((10, 10), (5, 9), (0, 1)):
+        with pytest.raises(ValueError):
+            split_spans("x" * 50, size, overlap)
 
 
 def test_boundaries_and_balance():
