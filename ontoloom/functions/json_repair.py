@@ -16,6 +16,8 @@ LISTS = {
     "properties": ("approved_properties",),
     "validations": ("results", "hierarchy_validations", "validation_results"),
     "corrections": ("fixes", "changes", "repair"),
+    "entities": (),
+    "relations": (),
 }
 WITH_REASONING = ("classes", "properties", "corrections")
 

@@ -11,6 +11,10 @@ from ontoloom.operators.validation import validate
 from ontoloom.runtime import checkpoint
 
 
+class BackendError(RuntimeError):
+    """A backend that could not answer."""
+
+
 def apply_corrections(classes: DataFrame, properties: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes and properties after the corrections (seq, action, target_uri, new_value).
 
@@ -50,7 +54,7 @@ def apply_corrections(classes: DataFrame, properties: DataFrame, corrections: Da
 def correction_rounds(classes: DataFrame, properties: DataFrame, correct: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, DataFrame, int]:
     """Validate and correct until consistent: at most `rounds` validations and one correction fewer.
 
-    correct: from error findings to corrections; none, or an exception, ends the loop. Returns classes, properties and
+    correct: from error findings to corrections; none, or a BackendError, ends the loop. Returns classes, properties and
     the number of validations.
     """
     for i in range(1, rounds + 1):
@@ -59,7 +63,7 @@ def correction_rounds(classes: DataFrame, properties: DataFrame, correct: Callab
             return classes, properties, i
         try:
             fixes = checkpoint(correct(errors))
-        except Exception:  # a failed backend leaves the T-Box as it is
+        except BackendError:  # leaves the T-Box as it is
             return classes, properties, i
         if fixes.isEmpty():
             return classes, properties, i

@@ -44,13 +44,25 @@ def over_quota(events: DataFrame, key: str, ts: str, conf: EngineConf) -> DataFr
     return per.select(key, "day", "n_requests", F.greatest(F.col("n_requests") - conf.requests_per_day, F.lit(0).cast("long")).alias("n_denied"))
 
 
-def admit(arrivals: list[float], last: list[float], conf: EngineConf) -> list[float]:
+DAY_S = 86_400
+
+
+def admit(arrivals: list[float], last: list[float], conf: EngineConf, today: list[int] | None = None) -> list[float | None]:
     """When each of the arrivals (seconds, ascending) is let through; `last` holds earlier admissions and is updated.
 
     A full window opens one safety second after its oldest admission has left it; two admissions are at least the gap apart.
+    today: day (UTC) and number of its admissions so far, updated too; a request beyond the day's quota gets None and
+    counts for nothing. A new day starts at 0.
     """
-    out = []
+    out: list[float | None] = []
+    today = today if today is not None else [-1, 0]
     for t in arrivals:
+        if today[0] != t // DAY_S:
+            today[:] = [int(t // DAY_S), 0]
+        if today[1] >= conf.requests_per_day:
+            out.append(None)
+            continue
+        today[1] += 1
         at = t
         if len(last) >= conf.requests_per_minute and at - last[-conf.requests_per_minute] <= conf.window_s:
             at = last[-conf.requests_per_minute] + conf.window_s + conf.safety_s
@@ -63,7 +75,7 @@ def admit(arrivals: list[float], last: list[float], conf: EngineConf) -> list[fl
 
 
 def schedule(events: DataFrame, key: str, ts: str, seq: str, conf: EngineConf) -> DataFrame:
-    """(key, seq, arrival, admitted) in seconds: the schedule of one limiter per key.
+    """(key, seq, arrival, admitted) in seconds: the schedule of one limiter per key; beyond the day's quota admitted is null.
 
     The recurrence depends on every earlier admission of the key, so a key is folded in order; the rows arrive sorted and in
     batches, and only the last window's admissions are kept, so a hot key needs no more memory than another.
@@ -71,14 +83,14 @@ def schedule(events: DataFrame, key: str, ts: str, seq: str, conf: EngineConf) -
     rows = events.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), (micros(F.col(ts)) / 1e6).alias("arrival"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, []
+        current, last, today = None, [], [-1, 0]
         for pdf in batches:
-            admitted: list[float] = []
+            admitted: list[float | None] = []
             for k, part in pdf.groupby("key", sort=False):
                 if k != current:
-                    current, last = k, []
-                admitted += admit(part["arrival"].tolist(), last, conf)
-            yield pdf.assign(admitted=admitted)
+                    current, last, today = k, [], [-1, 0]
+                admitted += admit(part["arrival"].tolist(), last, conf, today)
+            yield pdf.assign(admitted=pd.array(admitted, dtype="Float64"))
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "arrival", "seq")
     return ordered.mapInPandas(run, "key string, seq long, arrival double, admitted double")

@@ -40,6 +40,24 @@ def approved_properties(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return first_wins(named, "uri", ["first_batch", "pos", "seq"], ["domain", "range", "comment", "first_batch", "seq"])
 
 
+def with_seeds(classes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Classes and the seeds (uri, comment) that they lack: filed under the root, with a definition made of the name, before all batches.
+
+    Seeds are taken as they are, the first comment of a uri by order of text; null uris are no seeds.
+    """
+    new = seeds.where("uri is not null").groupBy("uri").agg(F.min("comment").alias("comment")).join(classes.select("uri"), "uri", "left_anti")
+    named = F.format_string("A %s is an Entity.", F.regexp_replace("uri", "^.*:", ""))
+    made = {"uri": F.col("uri"), "bfo_parent": F.lit("bfo:Entity"), "aristotelian_definition": named, "comment": F.coalesce("comment", F.lit("")), "first_batch": F.lit(-1), "seq": F.lit(-1)}
+    kinds = dict(classes.dtypes)
+    return classes.unionByName(new.select(*[made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in classes.columns]))
+
+
+def remove_subclass(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Classes without the parents named in edges (child, parent); a class whose parent is another one keeps it."""
+    gone = edges.where("child is not null and parent is not null").select(F.col("child").alias("uri"), F.col("parent").alias("subclass_of"), F.lit(True).alias("_gone")).distinct()
+    return classes.join(gone, ["uri", "subclass_of"], "left").withColumn("subclass_of", F.when(F.col("_gone").isNull(), F.col("subclass_of"))).select(*classes.columns)
+
+
 def subclass_edges(classes: DataFrame) -> DataFrame:
     """(child, parent) of the classes that have a parent."""
     return classes.where(F.col("subclass_of").isNotNull()).select(F.col("uri").alias("child"), F.col("subclass_of").alias("parent"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.conf import SPECIAL_CLASSES, XSD_VALID
@@ -32,11 +32,11 @@ def naming(classes: DataFrame, properties: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            _finding(classes.where((local != "") & ~upper), 1, "WARNING", "class_case", F.col("uri"), _text("Class '%s' does not follow TitleCase convention.", "uri")),
-            _finding(classes.where(local.rlike("[ -]")), 1, "ERROR", "class_name", F.col("uri"), _text("Class '%s' contains spaces or hyphens — invalid OWL local name.", "uri")),
-            _finding(properties.where(upper), 1, "WARNING", "property_case", F.col("uri"), _text("Property '%s' starts with uppercase — should be camelCase.", "uri")),
-            _finding(classes.where(local == ""), 1, "ERROR", "empty_name", F.col("uri"), _text("Class '%s' has an empty local name.", "uri")),
-            _finding(properties.where(local == ""), 1, "ERROR", "empty_name", F.col("uri"), _text("Property '%s' has an empty local name.", "uri")),
+            _finding(classes.where((local != "") & ~upper), 1, "WARNING", "class_case", F.col("uri"), _text("class %s: the name begins in lower case", "uri")),
+            _finding(classes.where(local.rlike("[ -]")), 1, "ERROR", "class_name", F.col("uri"), _text("class %s: a space or hyphen stands in the name", "uri")),
+            _finding(properties.where(upper), 1, "WARNING", "property_case", F.col("uri"), _text("property %s: the name begins in upper case", "uri")),
+            _finding(classes.where(local == ""), 1, "ERROR", "empty_name", F.col("uri"), _text("class %s: nothing is left of the name without its prefix", "uri")),
+            _finding(properties.where(local == ""), 1, "ERROR", "empty_name", F.col("uri"), _text("property %s: nothing is left of the name without its prefix", "uri")),
         ],
     )
 
@@ -46,61 +46,59 @@ def domain_range(classes: DataFrame, properties: DataFrame) -> DataFrame:
     known = classes.select(F.col("uri").alias("_c"))
     bad_domain = properties.where(~F.coalesce(F.col("domain").isin(*SPECIAL_CLASSES), F.lit(False))).join(known, F.col("domain") == F.col("_c"), "left_anti")
     bad_range = properties.where(~F.coalesce(F.col("range").isin(*SPECIAL_CLASSES, *XSD_VALID), F.lit(False))).join(known, F.col("range") == F.col("_c"), "left_anti")
-    return _finding(bad_domain, 1, "ERROR", "domain", F.col("uri"), _text("Property '%s' has domain '%s' which is not a known class.", "uri", "domain")).unionByName(
-        _finding(bad_range, 1, "ERROR", "range", F.col("uri"), _text("Property '%s' has range '%s' which is not a known class or XSD datatype.", "uri", "range"))
+    return _finding(bad_domain, 1, "ERROR", "domain", F.col("uri"), _text("property %s: no class is called %s, its domain", "uri", "domain")).unionByName(
+        _finding(bad_range, 1, "ERROR", "range", F.col("uri"), _text("property %s: neither a class nor a datatype is called %s, its range", "uri", "range"))
     )
 
 
 def cycle_findings(classes: DataFrame) -> DataFrame:
     """One error per cycle of the subclass hierarchy."""
     found = find_cycles(classes.select(F.col("uri").alias("node"), F.col("subclass_of").alias("parent")))
-    return _finding(found, 1, "ERROR", "cycle", F.col("cycle_uri"), F.concat(F.lit("Hierarchy cycle detected: "), F.array_join("path", " -> ")))
+    return _finding(found, 1, "ERROR", "cycle", F.col("cycle_uri"), F.concat(F.lit("parents lead back to the start: "), F.array_join("path", " -> ")))
 
 
 def conflicts(properties: DataFrame) -> DataFrame:
     """Domain and range shared by more than SHARED properties, with the first NAMED of them by seq.
 
-    Only the first few per group are ever held (a bounded aggregate), whatever share of the properties a group has.
+    Only the first few of a group leave a task (a limit per group before and after the shuffle), whatever share of the
+    properties the group has; nulls count as empty.
     """
+    pair = ["domain", "range"]
     grouped = properties.select(F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("range", F.lit("")).alias("range"), "seq", "uri")
-    ranked = grouped.groupBy("domain", "range").agg(F.count(F.lit(1)).alias("n"), *[F.min("seq").alias("s0")]).where(F.col("n") > SHARED)
-    firsts, rest = ranked, grouped.join(ranked.select("domain", "range"), ["domain", "range"], "left_semi")
-    names = []
-    for i in range(NAMED):
-        pick = rest.groupBy("domain", "range").agg(F.min(F.struct("seq", "uri")).alias(f"p{i}"))
-        firsts = firsts.join(pick, ["domain", "range"], "left")
-        names.append(F.col(f"p{i}.uri"))
-        rest = rest.join(pick, ["domain", "range"]).where(F.col("seq") > F.col(f"p{i}.seq")).drop(f"p{i}")
-    message = F.format_string("Multiple properties (%d) share domain='%s' range='%s': %s... — possible redundancy.", F.col("n"), F.col("domain"), F.col("range"), F.concat_ws(", ", *names))
-    return _finding(firsts, 1, "WARNING", "conflict", F.concat_ws(" -> ", "domain", "range"), message)
+    counts = grouped.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED)
+    place = F.row_number().over(Window.partitionBy(*pair).orderBy("seq", "uri"))
+    first = grouped.withColumn("place", place).where(F.col("place") <= NAMED).groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("place", "uri"))).alias("named"))
+    names = F.array_join(F.transform("named", lambda x: x["uri"]), ", ")
+    message = F.format_string("%d properties lead from %s to %s, among them %s", F.col("n"), F.col("domain"), F.col("range"), names)
+    return _finding(counts.join(first, pair), 1, "WARNING", "conflict", F.concat_ws(" -> ", *pair), message)
 
 
 def iri_syntax(classes: DataFrame, properties: DataFrame) -> DataFrame:
     """Names that no Turtle reader takes."""
     names = classes.select("uri").unionByName(properties.select("uri")).distinct()
     bad = names.where(~local_name(F.col("uri")).rlike(r"^[\p{L}_][\p{L}\p{N}_.\-]*$"))
-    return _finding(bad, 2, "ERROR", "iri", F.col("uri"), _text("'%s' is no valid local name.", "uri"))
+    return _finding(bad, 2, "ERROR", "iri", F.col("uri"), _text("%s: not a name that Turtle can hold", "uri"))
 
 
 def inversions(classes: DataFrame, properties: DataFrame) -> DataFrame:
     """Object properties whose domain is a direct subclass of their range."""
     edges = subclass_edges(classes)
     found = properties.where(~F.col("range").startswith("xsd:")).join(edges, (F.col("domain") == F.col("child")) & (F.col("range") == F.col("parent")), "left_semi")
-    return _finding(found, 2, "WARNING", "inversion", F.col("uri"), _text("Property '%s' has domain that is a subclass of its range — may indicate a modelling issue.", "uri"))
+    return _finding(found, 2, "WARNING", "inversion", F.col("uri"), _text("property %s: leads from a class to the parent of that class", "uri"))
 
 
 def dangling(classes: DataFrame) -> DataFrame:
     """Subclass edges to a parent without a definition."""
     known = classes.select(F.col("uri").alias("_c"))
     bad = classes.where(F.col("subclass_of").isNotNull()).join(known, F.col("subclass_of") == F.col("_c"), "left_anti")
-    return _finding(bad, 1, "WARNING", "dangling", F.col("uri"), _text("Class '%s' has the parent '%s' which is not defined.", "uri", "subclass_of"))
+    return _finding(bad, 1, "WARNING", "dangling", F.col("uri"), _text("class %s: its parent %s has no definition", "uri", "subclass_of"))
 
 
 def genus(classes: DataFrame) -> DataFrame:
     """Definitions whose genus (the word after `is a`) isn't the category of the class."""
     named = F.regexp_extract("aristotelian_definition", r"^(?i:an?) \S+ (?i:is an?) (\w+)", 1)
     bad = classes.where(F.col("bfo_parent").isNotNull() & (named != "") & (F.lower(named) != F.lower(F.regexp_replace("bfo_parent", "^bfo:", ""))))
-    return _finding(bad, 1, "WARNING", "genus", F.col("uri"), F.format_string("Class '%s' is defined as %s but filed under %s.", F.col("uri"), named, F.col("bfo_parent")))
+    return _finding(bad, 1, "WARNING", "genus", F.col("uri"), F.format_string("class %s: defined as %s, filed under %s", F.col("uri"), named, F.col("bfo_parent")))
 
 
 def inferred_types(entities: DataFrame, relations: DataFrame, properties: DataFrame) -> DataFrame:

@@ -39,8 +39,9 @@ def cache_key(prompt: str, **arguments: str) -> str:
 class ReplayBackend:
     """Recorded answers: a table (prefix, key, payload) joined to requests (prefix, key, ...); what isn't recorded gives no rows."""
 
-    def __init__(self, cache: DataFrame) -> None:
-        self.cache = cache
+    def __init__(self, cache: DataFrame, prompt: Callable[[str], str] = str, prefix: str = "extract") -> None:
+        """prompt: from the text of a chunk to the request under whose key its answer was recorded with that prefix."""
+        self.cache, self.prompt, self.prefix = cache, prompt, prefix
 
     def answers(self, requests: DataFrame, kind: str) -> DataFrame:
         """Requests with `answer`, the normalised JSON of their recorded payload as text."""
@@ -54,6 +55,25 @@ class ReplayBackend:
         return requests.join(hit.mapInArrow(read, "prefix string, key string, answer string"), ["prefix", "key"])
 
 
+    def requests(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with the prefix and key of their request."""
+        prompt = self.prompt
+        keyed = F.pandas_udf(lambda texts: texts.map(lambda t: cache_key(prompt(t)), na_action="ignore"), "string")
+        return chunks.select("doc_id", "chunk_ix", F.lit(self.prefix).alias("prefix"), keyed("text").alias("key"))
+
+    def _items(self, chunks: DataFrame, kind: str, schema: str) -> DataFrame:
+        fields = [x.split()[0] for x in schema.split(", ")[3:]]
+        of = ", ".join(f"{f}: string" for f in fields)
+        answers = self.answers(self.requests(chunks), kind).withColumn("a", F.from_json("answer", f"struct<{kind}: array<struct<{of}>>>"))
+        return answers.select("doc_id", "chunk_ix", F.posexplode(f"a.{kind}").alias("pos", "x")).select("doc_id", "chunk_ix", "pos", *[F.col(f"x.{f}").alias(f) for f in fields])
+
+    def entities(self, chunks: DataFrame) -> DataFrame:
+        return self._items(chunks, "entities", MENTIONS)
+
+    def relations(self, chunks: DataFrame) -> DataFrame:
+        return self._items(chunks, "relations", RELATIONS)
+
+
 class RuleBackend:
     """Names of two words and a head noun as entities of the noun's class; neighbours in a sentence as related.
 

@@ -13,7 +13,7 @@ from ontoloom.operators import abox, cycles, limiter, report, tbox, turtle, vali
 from ontoloom.operators.corrections import apply_corrections
 from ontoloom.operators.leader import deduplicate, similar_pairs
 from ontoloom.plans import prompts
-from ontoloom.plans.backends import RuleBackend, batches_of
+from ontoloom.plans.backends import ReplayBackend, RuleBackend, batches_of
 from ontoloom.plans.pipeline import populate
 from ontoloom.runtime import spread, table
 from ontoloom.sources.readers import prepare
@@ -174,9 +174,39 @@ def safe_ids(s, d):
     return table(s, d, "entities").select("entity_key", X.safe_id(F.col("id")).alias("local"))
 
 
-@_query("SELECT doc_id, md5(text) AS key FROM documents")
+@_query("""SELECT doc_id, md5('{"kwargs": {}, "prompt": ' || CAST(to_json(text) AS VARCHAR) || '}') AS key FROM documents""")
 def cache_key(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5("text").alias("key"))
+    """The key of each text as a request, by the operator."""
+    return ReplayBackend(s.createDataFrame([], "prefix string, key string, payload string")).requests(table(s, d, "documents").withColumn("chunk_ix", F.lit(0))).select("doc_id", "key")
+
+
+@_query(
+    """SELECT class_row_id AS doc_id, 0 AS pos, uri AS id, bfo_parent AS class_uri, comment AS evidence_span FROM ontology_classes"""
+)
+def replayed_entities(s, d):
+    """Entities of recorded answers: each class row is a chunk whose answer was recorded under the key of its request."""
+    rows = table(s, d, "ontology_classes")
+    chunks = rows.select(F.col("class_row_id").alias("doc_id"), F.lit(0).alias("chunk_ix"), F.concat_ws(" ", F.lit("row"), "class_row_id").alias("text"))
+    answer = F.to_json(F.struct(F.array(F.struct(F.col("uri").alias("id"), F.col("bfo_parent").alias("class_uri"), F.col("comment").alias("evidence_span"))).alias("entities")), {"ignoreNullFields": "false"})
+    keys = ReplayBackend(rows.limit(0)).requests(chunks).join(rows.select(F.col("class_row_id").alias("doc_id"), answer.alias("payload")), "doc_id")
+    return ReplayBackend(keys.select("prefix", "key", "payload")).entities(chunks).select("doc_id", "pos", "id", "class_uri", "evidence_span")
+
+
+@_query(f"""WITH {_CLASSES} SELECT uri, CASE WHEN uri < subclass_of THEN NULL ELSE subclass_of END AS subclass_of FROM cls""")
+def removed_edges(s, d):
+    """Edges to a parent behind the child in order are removed; requests that name another parent than the class has do nothing."""
+    c = _classes(s, d)
+    edges = tbox.subclass_edges(c)
+    wrong = edges.select("child", F.concat("parent", F.lit("x")).alias("parent"))
+    return tbox.remove_subclass(c, edges.where("child < parent").unionByName(wrong)).select("uri", "subclass_of")
+
+
+@_query(
+    f"""WITH {_CLASSES} SELECT uri, bfo_parent, aristotelian_definition FROM cls UNION ALL
+  SELECT uri, 'bfo:Entity', 'A ' || regexp_replace(uri, '^.*:', '') || ' is an Entity.' FROM (SELECT DISTINCT uri FROM seed_terms WHERE uri IS NOT NULL) WHERE uri NOT IN (SELECT uri FROM cls)"""
+)
+def seeded_classes(s, d):
+    return tbox.with_seeds(_classes(s, d), table(s, d, "seed_terms").select("uri", F.lit(None).cast("string").alias("comment"))).select("uri", "bfo_parent", "aristotelian_definition")
 
 
 @_query()
@@ -313,9 +343,9 @@ def validate_naming(s, d):
 
 @_query(
     f"""WITH {_CLASSES}, p AS (SELECT uri, domain, range FROM ontology_properties WHERE uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uri ORDER BY batch_ix, pos, prop_row_id) = 1)
-  SELECT 'domain' AS code, uri AS subject, 'Property ''' || uri || ''' has domain ''' || coalesce(domain, '') || ''' which is not a known class.' AS message FROM p
+  SELECT 'domain' AS code, uri AS subject, 'property ' || uri || ': no class is called ' || coalesce(domain, '') || ', its domain' AS message FROM p
     WHERE NOT coalesce(domain IN ({_in(SPECIAL_CLASSES)}) OR domain IN (SELECT uri FROM cls), FALSE)
-  UNION ALL SELECT 'range', uri, 'Property ''' || uri || ''' has range ''' || coalesce(range, '') || ''' which is not a known class or XSD datatype.' FROM p
+  UNION ALL SELECT 'range', uri, 'property ' || uri || ': neither a class nor a datatype is called ' || coalesce(range, '') || ', its range' FROM p
     WHERE NOT coalesce(range IN ({_in((*SPECIAL_CLASSES, *XSD_VALID))}) OR range IN (SELECT uri FROM cls), FALSE)"""
 )
 def validate_domain_range(s, d):
@@ -327,17 +357,25 @@ def validate_domain_range(s, d):
 @_query(
     f"""WITH p AS (SELECT uri, coalesce(domain, '') AS domain, coalesce(range, '') AS range, prop_row_id AS seq FROM ontology_properties WHERE uri IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY uri ORDER BY batch_ix, pos, prop_row_id) = 1)
-  SELECT domain || ' -> ' || range AS subject, 'Multiple properties (' || count(*) || ') share domain=''' || domain || ''' range=''' || range || ''': ' ||
-    array_to_string(list(uri ORDER BY seq)[:4], ', ') || '... — possible redundancy.' AS message FROM p GROUP BY domain, range HAVING count(*) > 3"""
+  SELECT domain || ' -> ' || range AS subject, count(*) || ' properties lead from ' || domain || ' to ' || range || ', among them ' ||
+    array_to_string(list(uri ORDER BY seq)[:4], ', ') AS message FROM p GROUP BY domain, range HAVING count(*) > 3"""
 )
 def validate_conflicts(s, d):
     props = tbox.first_wins(table(s, d, "ontology_properties").withColumn("seq", F.col("prop_row_id")), "uri", ["batch_ix", "pos", "prop_row_id"], ["domain", "range", "seq"])
     return validation.conflicts(props).select("subject", "message")
 
 
-@_query(_T + "SELECT p.uri AS subject FROM prp p JOIN cls c ON c.uri = p.domain AND c.subclass_of = p.range WHERE p.range NOT LIKE 'xsd:%'")
+@_query(
+    _T
+    + """, every AS (SELECT uri, domain, range FROM prp UNION ALL SELECT 'ex:up_' || uri, uri, subclass_of FROM cls WHERE subclass_of IS NOT NULL UNION ALL SELECT 'ex:down_' || uri, subclass_of, uri FROM cls WHERE subclass_of IS NOT NULL)
+  SELECT p.uri AS subject FROM every p JOIN cls c ON c.uri = p.domain AND c.subclass_of = p.range WHERE p.range NOT LIKE 'xsd:%'"""
+)
 def validate_inversions(s, d):
-    return validation.inversions(_classes(s, d), _properties(s, d)).select("subject")
+    """Over the properties and, as they have no such case, over two more for every edge, from child to parent and back."""
+    c, edges = _classes(s, d), tbox.subclass_edges(_classes(s, d))
+    up = edges.select(F.concat(F.lit("ex:up_"), "child").alias("uri"), F.col("child").alias("domain"), F.col("parent").alias("range"))
+    down = edges.select(F.concat(F.lit("ex:down_"), "child").alias("uri"), F.col("parent").alias("domain"), F.col("child").alias("range"))
+    return validation.inversions(c, _properties(s, d).select("uri", "domain", "range").unionByName(up).unionByName(down)).select("subject")
 
 
 @_query(f"WITH {_CLASSES} SELECT uri AS subject, subclass_of AS parent FROM cls WHERE subclass_of IS NOT NULL AND subclass_of NOT IN (SELECT uri FROM cls)")
@@ -455,12 +493,16 @@ def triple_set(s, d):
     return abox.triples(table(s, d, "relation_mentions"))
 
 
-@_query("SELECT rel_id, source_id FROM relation_mentions r JOIN documents USING (doc_id) WHERE evidence_span IS NOT NULL AND NOT contains(text, evidence_span)")
+@_query(
+    """SELECT rel_id, source_id, form FROM (SELECT rel_id, source_id, doc_id, evidence_span, 'stated' AS form FROM relation_mentions UNION ALL SELECT rel_id, source_id, doc_id, upper(evidence_span), 'upper' FROM relation_mentions) r
+  JOIN documents USING (doc_id) WHERE evidence_span IS NOT NULL AND NOT contains(text, evidence_span)"""
+)
 def evidence_check(s, d):
-    """Relations whose evidence isn't a part of their document's text."""
+    """Relations whose evidence isn't a part of their document's text, as stated and, as all of that is, in upper case."""
     docs = table(s, d, "documents").select("doc_id", "text")
-    rels = table(s, d, "relation_mentions").where("evidence_span is not null").select("rel_id", "source_id", "doc_id", "evidence_span")
-    return rels.join(docs, "doc_id").where(~F.contains("text", "evidence_span")).select("rel_id", "source_id")
+    rels = table(s, d, "relation_mentions").where("evidence_span is not null").select("rel_id", "source_id", "doc_id", "evidence_span", F.lit("stated").alias("form"))
+    both = rels.unionByName(rels.withColumn("evidence_span", F.upper("evidence_span")).withColumn("form", F.lit("upper")))
+    return both.join(docs, "doc_id").where(~F.contains("text", "evidence_span")).select("rel_id", "source_id", "form")
 
 
 @_query(

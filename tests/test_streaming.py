@@ -21,6 +21,20 @@ def test_streams_equal_batches(spark, tmp_path):
     assert quota.drain(quota.sliding(quota.event_stream(spark, str(tmp_path)), "user_id")).where("n_requests > 3").count() == 0
 
 
+def test_a_named_stream_goes_on(spark, tmp_path):
+    """A second run takes only what is new, and a batch that is written twice counts once."""
+    at = str(tmp_path / "events.parquet")
+    part = lambda a, b: spark.createDataFrame([(i, T0 + timedelta(hours=i), i % 2, "x", 0.5, None) for i in range(a, b)], quota.EVENTS).coalesce(1).write.mode("append").parquet(at)
+    name = f"t-{tmp_path.name}-{id(tmp_path)}"
+    run = lambda: quota.drain(quota.admissions(quota.event_stream(spark, str(tmp_path)), "user_id", "event_id", EngineConf()), "append", name)
+    part(0, 30)
+    assert run().count() == 30
+    part(30, 50)
+    out = run()
+    assert out.count() == 50 == out.select("seq").distinct().count()
+    assert run().count() == 50
+
+
 def test_answers_are_recorded_once(spark, tmp_path):
     path = str(tmp_path / "cache")
     for payload in ("a", "b"):
