@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.runtime import checkpoint, spread
+from ontoloom.runtime import checkpoint, drop, spread
 
 # Function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -37,8 +37,10 @@ SHARE = 0.5
 #: The model is trained on windows with at least this share of function words, without links and long runs of words.
 PROSE_WORDS = 0.15
 #: The band of normal perplexity: on the scale of log bits a token, its edges lie BAND times as far from the median of
-#: prose windows as the outermost TAIL of them does. Fitted on the windows of about SAMPLE documents (chosen by hash).
-BAND, TAIL, SAMPLE = 1.5, 0.001, 4000
+#: prose windows as the outermost TAIL of them does.
+BAND, TAIL = 1.5, 0.001
+#: Values at given ranks are found by DIGIT bits a round, until no more than AT_ONCE values can be meant.
+DIGIT, AT_ONCE = 16, 100_000
 
 _TOKEN = re.compile(r"https?://\S+|#\w+|<[^<>\n]{1,200}>|\]\([^)\s]*\)|[^\W\d_]+|\d+(?:[.,]\d+)*|\n|[^\w\s]|_")
 _MARKS = ".,;:!?()[]|•»*-–/\"="
@@ -179,21 +181,59 @@ class Model:
 
 
 def _perplexities(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Bits a token of every prose window, as if it had not been trained on."""
+    """Bits a token of every prose window, as if it had not been trained on, as integers of the same order."""
     model = Model(*shared.value)
     for b in batches:
         codes, key, window, doc = _windows(b)
         n = len(doc)
         mean = _sum(window, model.bits(key, 1), n) / np.maximum(_sum(window, np.ones(len(codes)), n), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(mean[_prose(codes, window, n)])], ["bits"])
+        bits = mean[_prose(codes, window, n)]
+        # positive numbers are in the order of their bit patterns
+        yield pa.RecordBatch.from_arrays([pa.array(bits[bits > 0].view(np.int64))], ["place"])
 
 
-def band(bits: np.ndarray) -> tuple[float, float]:
-    """The normal range of bits a token, from those of prose windows; without any, everything is normal."""
-    bits = bits[bits > 0]
-    if not len(bits):
+def _at_ranks(places: DataFrame, ranks: np.ndarray, n: int) -> np.ndarray:
+    """The values of `place` (n rows, none negative) at these ranks from 0 on.
+
+    Rows are counted by their leading bits, then within the parts that hold a rank; so no round sends the driver more than
+    2 ** DIGIT counts a rank or AT_ONCE in all, however many rows there are.
+    """
+    found, rest = np.zeros(len(ranks), np.int64), np.array(ranks, np.int64)  # leading bits, and the rank among those that share them
+    shift, held = 63, n
+    while shift:
+        known, shift = shift, 0 if held <= AT_ONCE else max(0, shift - DIGIT)
+        part = places if known == 63 else places.where(F.shiftright("place", known).isin([int(p) for p in set(found)]))
+        counts = part.groupBy(F.shiftright("place", shift).alias("p")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("p")
+        p, upto = counts["p"].to_numpy(np.int64), np.concatenate([[0], np.cumsum(counts["n"].to_numpy(np.int64))])
+        rest = rest + upto[np.searchsorted(p, found << (known - shift))]
+        at = np.searchsorted(upto, rest, "right") - 1
+        found, rest, held = p[at], rest - upto[at], int(np.diff(upto)[np.unique(at)].sum())
+    return found
+
+
+def _quantiles(places: DataFrame, shares: np.ndarray, n: int) -> np.ndarray:
+    """Exact quantiles of the numbers that `place` (n rows) stands for, in between two of them as numpy has it."""
+    rank = shares * (n - 1)
+    below = np.floor(rank).astype(np.int64)
+    a, b = _at_ranks(places, np.concatenate([below, np.minimum(below + 1, n - 1)]), n).view(np.float64).reshape(2, -1)
+    return a + (b - a) * (rank - below)
+
+
+def band(bits: np.ndarray | DataFrame) -> tuple[float, float]:
+    """The normal range of bits a token, from those of all prose windows; without any, everything is normal.
+
+    bits: an array, or a table with what `_perplexities` gives.
+    """
+    shares = np.array([TAIL, 0.5, 1 - TAIL])
+    if isinstance(bits, np.ndarray):
+        bits = bits[bits > 0]
+        marks = np.quantile(bits, shares) if len(bits) else None
+    else:
+        n = bits.count()
+        marks = _quantiles(bits, shares, n) if n else None
+    if marks is None:
         return -np.inf, np.inf
-    low, mid, high = np.log(np.quantile(bits, [TAIL, 0.5, 1 - TAIL]))
+    low, mid, high = np.log(marks)
     return float(np.exp(mid - BAND * (mid - low))), float(np.exp(mid + BAND * (high - mid)))
 
 
@@ -218,17 +258,17 @@ def score_pages(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text, whole. Each text becomes a sequence of function words and word classes, a word's class carrying
     the number of words since the last function word or figure. A trigram model is trained on the windows of all documents
-    that read like prose; the band of normal perplexity is fitted on the prose windows of a sample of about SAMPLE
-    documents. A window is odd if its perplexity lies above or below that band, and nothing else decides. Null and
-    empty texts score 0, as does everything where no text reads like prose. The model has one count per trigram of
-    classes that occurs in prose, so its size is bounded by the alphabet, not by the documents.
+    that read like prose; the band of normal perplexity is fitted on the same windows, those of all documents. A window is
+    odd if its perplexity lies above or below that band, and nothing else decides. Null and empty texts score 0, as does
+    everything where no text reads like prose. The model has one count per trigram of classes that occurs in prose, so its
+    size is bounded by the alphabet, not by the documents.
     """
     coded = checkpoint(spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(_coded, "doc_id bigint, codes binary, sizes binary, chars bigint"))
     counts = coded.mapInArrow(_train, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast((counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)))
-    every = max(1, coded.count() // SAMPLE)
-    sample = coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("codes")
-    low, high = band(sample.mapInArrow(lambda it: _perplexities(it, shared), "bits double").toPandas()["bits"].to_numpy(float))
+    places = checkpoint(coded.select("codes").mapInArrow(lambda it: _perplexities(it, shared), "place bigint"))
+    low, high = band(places)
+    drop(places)
     return coded.mapInArrow(lambda it: _score(it, shared, low, high), "doc_id bigint, entropy double, share double")
 
 

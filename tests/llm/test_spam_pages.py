@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ontoloom.llm import spam_pages as pages
 from ontoloom.llm.spam_pages import score_pages, spam_pages
@@ -47,3 +48,30 @@ def test_pages(spark):
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(spam + fine)], "doc_id long, text string, share double")
     assert {r["doc_id"] for r in spam_pages(docs).collect()} == set(range(len(spam)))
     assert score_pages(docs).count() == len(spam + fine) and spam_pages(docs.limit(0)).count() == 0
+
+
+def test_ranks(spark, monkeypatch):
+    """Quantiles of a table are those of all its numbers, also where they are narrowed down in several rounds."""
+    bits = np.concatenate([np.random.default_rng(2).lognormal(0.5, 0.4, 5000), np.full(700, 1.25)])
+    places = spark.createDataFrame([(int(v),) for v in bits.view(np.int64)], "place long")
+    for at_once in (100_000, 0):
+        monkeypatch.setattr(pages, "AT_ONCE", at_once)
+        assert np.allclose(pages.band(places), pages.band(bits), rtol=1e-12, atol=0)
+        assert np.allclose(pages._quantiles(places, np.array([0, 0.3, 1]), len(bits)), np.quantile(bits, [0, 0.3, 1]), rtol=1e-12, atol=0)
+    assert pages.band(places.limit(0)) == (-np.inf, np.inf) and pages.band(places.limit(1))[0] > 0
+
+
+def test_band_of_all_documents(spark, monkeypatch):
+    """The band is fitted on the prose windows of every document, however many there are."""
+    rnd = random.Random(6)
+    words = lambda: " ".join(rnd.choices(["outer oxide", "Tidal Cell", "on the inlet", "if so", "salts,", "to it", "17"], k=rnd.randrange(1, 5)))
+    texts = [rnd.choice(PROSE).format(words(), words()) for _ in range(9000)]
+    fitted, band = [], pages.band
+    monkeypatch.setattr(pages, "band", lambda bits: fitted.append(band(bits)) or fitted[-1])
+    pages.score_pages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    coded = next(pages._coded(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])))
+    counts = next(pages._train(iter([coded])))
+    codes, key, window, doc = pages._windows(coded)
+    sums = np.bincount(window, pages.Model(counts["key"].to_numpy(), counts["n"].to_numpy()).bits(key, 1))
+    bits = (sums / np.bincount(window))[pages._prose(codes, window, len(doc))]
+    assert len(bits) > 8000 and np.allclose(fitted[0], band(bits), rtol=1e-9, atol=0)
