@@ -16,9 +16,9 @@ from ontoloom.runtime import checkpoint
 ORDERS = (16, 10, 6, 3)
 #: A context counts if the corpus has it this often; otherwise the next shorter one is asked.
 SUPPORT = 8
-#: Thresholds are learned from synthetic cuts of about so many texts (chosen by hash) and from values that end in a full stop;
-#: a language and field with fewer than FEW of either takes the thresholds of all together.
-SAMPLE, FEW = 200_000, 50
+#: Thresholds are learned from synthetic cuts of all texts of at least CUT_FROM characters and from values that end in a full
+#: stop; a language and field with fewer than FEW of either takes the thresholds of all together.
+CUT_FROM, FEW = 20, 50
 #: The share of cut values assumed before the first look at a group, and the bounds of the share found in it.
 PRIOR, LEAST_PRIOR, MOST_PRIOR = 0.1, 0.001, 0.95
 #: Thresholds lie on a grid of this step.
@@ -180,10 +180,10 @@ def truncated(values: DataFrame) -> DataFrame:
     text left out.
 
     The threshold is the one with the fewest expected errors between values that end in a full stop, taken as whole, and
-    synthetic cuts of the same language and field, given the share of cut values in the group. Groups are values with a
-    mark of cutting, with a full stop or with neither at their end, each apart for lengths that pile up in a source
-    and field; a group's share is that of its values below the threshold for PRIOR. Null, empty and `null` values are no
-    cases and train nothing.
+    synthetic cuts, one of each different text, of the same language and field, given the share of cut values in the group.
+    Groups are values with a mark of cutting, with a full stop or with neither at their end, each apart for lengths that
+    pile up in a source and field; a group's share is that of its values below the threshold for PRIOR. Null, empty and
+    `null` values are no cases and train nothing.
     Returns row_key, source, field, log_odds, at_limit, kind, is_cut, one row per value with a text.
     """
     rows = values.where(F.col("text").isNotNull() & ~F.lower(F.trim("text")).isin("", "null"))
@@ -205,9 +205,7 @@ def truncated(values: DataFrame) -> DataFrame:
     finals = checkpoint(rows.select("row_key", "source", "field", "model", "n", "kind", "core").mapInArrow(lambda it: _final(it, False), schema))
     # copies of a text count once, so that none of them vouches for the end of another
     texts = checkpoint(rows.select("model", "core").distinct())
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.where((F.char_length("core") >= 20) & (F.pmod(F.xxhash64("core"), F.lit(every)) == 0))
-    cuts = checkpoint(sample.mapInArrow(lambda it: _final(it, True), f"model string, {c_schema}"))
+    cuts = checkpoint(texts.where(F.char_length("core") >= CUT_FROM).mapInArrow(lambda it: _final(it, True), f"model string, {c_schema}"))
     # distinct contexts first: many values end alike
     asked = checkpoint(finals.select("model", *cs, F.lit(False).alias("cut")).unionByName(cuts.select("model", *cs, F.lit(True).alias("cut"))).distinct())
     long = asked.select("model", *cs, "cut", F.posexplode(F.array(*cs)).alias("level", "ctx"))

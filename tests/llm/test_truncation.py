@@ -1,5 +1,6 @@
 import random
 
+from ontoloom.llm import truncation
 from ontoloom.llm.truncation import truncated, with_language, with_tails
 
 SCHEMA = "row_key long, source string, field string, lang string, text string, n int"
@@ -71,3 +72,14 @@ def test_thresholds_of_each_field(spark):
     rows += [(20_000 + i, "a", "h", "en", "no stop ever here", 0) for i in range(40)] + [(30_000, "a", "f", "en", "A B7thing is a process that connects nutr", 0)]
     got = {r["row_key"]: r["is_cut"] for r in truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[30_000] and sum(got.values()) <= 20 and not any(got[20_000 + i] for i in range(40))
+
+
+def test_cuts_of_all_texts(spark, monkeypatch):
+    """Thresholds are learned from a cut of every different text that is long enough, however many there are."""
+    rnd = random.Random(7)
+    said = texts(rnd, 1500) + ["A short one.", "a short one"]
+    monkeypatch.setattr(truncation, "SAMPLE", 300, raising=False)  # read by former versions: more texts were cut in part only
+    seen, errors = [], truncation._errors
+    monkeypatch.setattr(truncation, "_errors", lambda finals, cuts: seen.append(cuts.count()) or errors(finals, cuts))
+    truncated(spark.createDataFrame([(i, "a", "f", "en", t, 0) for i, t in enumerate(said + said[:400])], SCHEMA))
+    assert seen == [len({t.rstrip(".").lower() for t in said[:1500]})]
