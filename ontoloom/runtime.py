@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A key is hot from this share of the rows; so there are at most HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,16 +36,24 @@ def _scratch(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/ontoloom"
 
 
-def checkpoint(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def checkpoint(df: DataFrame, replaces: DataFrame | None = None, release: bool = False) -> DataFrame:
     """Cut the lineage of `df` by writing it as a table into the shared folder of spark.checkpoint.dir.
 
     A table, unlike a checkpointed RDD, carries no constraints of the plan it came from (which multiply from round to
     round of an iteration) and is read in as few partitions as its size needs. replaces: an earlier result of this
-    function that nothing will read again; its files are deleted.
+    function that nothing will read again; its files are deleted. release: delete the shuffle files of `df` as soon as it is
+    written, instead of when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._ontoloom_path = path
     if replaces is not None:

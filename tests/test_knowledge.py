@@ -1,9 +1,11 @@
+import os
+import pathlib
 import random
 from datetime import datetime, timedelta
 
 from ontoloom.conf import EngineConf
 from ontoloom.functions.text import normalize_id
-from ontoloom.operators import abox, cycles, limiter, report, tbox, turtle, validation
+from ontoloom.operators import abox, cycles, leader, limiter, report, tbox, turtle, validation
 from ontoloom.operators.corrections import BackendError, apply_corrections, correction_rounds
 from ontoloom.operators.leader import deduplicate, leaders, similar_pairs
 from ontoloom.plans import prompts
@@ -65,6 +67,40 @@ def test_pairs_without_substrings(spark):
     assert rows(similar_pairs(df)) == [(1, 2), (3, 4)] and rows(similar_pairs(df, substring_rule=False)) == [(3, 4)]
 
 
+def test_leaders_leave_little_on_disk(spark):
+    """Distinct names of two common words and a rare one: neither tables nor shuffle files of runs and candidates stay."""
+    rnd = random.Random(3)
+    stems = ["lower_%s_membrane", "upper_%s_turbine", "hydrated_%s_residue"]
+    names = list({rnd.choice(stems) % "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(4000)})
+    df = spark.createDataFrame(list(enumerate(names)), "seq long, id string").select("id", normalize_id(F.col("id")).alias("norm"), "seq")
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return sum(f.stat().st_size for f in scratch.rglob("*.parquet")) + sum(os.path.getsize(f) for f in files.getAllFiles().mkString("\n").split() if os.path.exists(f))
+
+    before = held()
+    out = deduplicate(df)
+    assert held() - before < 100 * len(names) and out.count() == len(names)
+
+
+def test_pairs_in_rounds_against_brute_force(spark, monkeypatch):
+    """All pairs, of odd names too, where digests are dealt to several rounds and bit tables."""
+    monkeypatch.setattr(leader, "ROUND_NAMES", 60)
+    monkeypatch.setattr(leader, "TABLE_NAMES", 60)
+    rnd = random.Random(5)
+    pool = ["a", "ab", "aab", "é" * 30, "x" * 90, "ab" * 20, "wind turbine hall", "\U0001f600\U0001f600a", "n\x00\x00", "".join(rnd.choice("abcdefgh") for _ in range(100))]
+    while len(pool) < 200:
+        w = rnd.choice(pool)
+        p = rnd.randrange(len(w) + 1)
+        pool += {x for x in (w[:p] + rnd.choice("abxy") + w[p:], w[:p] + w[p + 1 :], w[p:] + w[:p]) if x} - set(pool)
+    df = spark.createDataFrame(list(enumerate(pool)), "i long, norm string")
+    for threshold, inside in ((0.85, True), (0.6, False)):
+        g = [grams(x) for x in pool]
+        want = [(i, j) for j, b in enumerate(pool) for i, a in enumerate(pool[:j]) if (inside and (a in b or b in a)) or (g[i] and g[j] and len(g[i] & g[j]) / len(g[i] | g[j]) >= threshold)]
+        assert sorted(map(tuple, similar_pairs(df, threshold, inside).collect())) == sorted(want)
+
+
 def test_tbox(spark):
     cls = spark.createDataFrame([(1, 0, 0, "ex:A", "bfo:Role", None, "d", "c", "q"), (2, 0, 1, "ex:B", None, "ex:A", None, None, "q"), (3, 1, 0, "ex:A", "bfo:Site", "ex:B", "x", "y", "q"), (4, 2, 0, "ex:C", None, None, None, None, None), (5, 0, 2, None, None, None, None, None, None)], "class_row_id long, batch_ix int, pos int, uri string, bfo_parent string, subclass_of string, aristotelian_definition string, comment string, seq string")
     classes = tbox.approved_classes(cls)
