@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.functions.json_repair import extract, normalize
-from ontoloom.runtime import spread
+from ontoloom.runtime import checkpoint, spread
 
 MENTIONS = "doc_id bigint, chunk_ix int, pos int, id string, class_uri string, evidence_span string"
 RELATIONS = "doc_id bigint, chunk_ix int, pos int, source_id string, property_uri string, target_id string, evidence_span string"
+FOUND = "doc_id bigint, chunk_ix int, nr int, related boolean, pos int, id string, kind string, target_id string, evidence_span string"
 
 _SENTENCE = re.compile(r"[^.!?]+[.!?]?")
 
@@ -36,6 +37,14 @@ def cache_key(prompt: str, **arguments: str) -> str:
     return hashlib.md5(body.encode()).hexdigest()
 
 
+def both(backend: ExtractorBackend, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity and relation mentions of chunks as tables that can be read again: from one pass where the backend has `both`."""
+    if hasattr(backend, "both"):
+        return backend.both(chunks)
+    chunks = checkpoint(chunks, release=True)
+    return checkpoint(backend.entities(chunks), release=True), checkpoint(backend.relations(chunks), release=True)
+
+
 class ReplayBackend:
     """Recorded answers: a table (prefix, key, payload) joined to requests (prefix, key, ...); what isn't recorded gives no rows."""
 
@@ -92,7 +101,7 @@ class RuleBackend:
 
     def _run(self, chunks: DataFrame, schema: str, rows: Callable[[str], Iterator[tuple]]) -> DataFrame:
         fields = [x.strip().split()[0] for x in schema.split(",")]
-        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
         types = [kinds[x.strip().split()[1]] for x in schema.split(",")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +116,32 @@ class RuleBackend:
         return self._run(chunks, MENTIONS, lambda t: ((n, c, s) for s, names in self._found(t) for n, c in names))
 
     def relations(self, chunks: DataFrame) -> DataFrame:
+        return self._run(chunks, RELATIONS, lambda t: (r for s, names in self._found(t) for r in self._related(s, names)))
+
+    def _related(self, sentence: str, names: list[tuple[str, str]]) -> Iterator[tuple]:
+        for (a, _), (b, _) in zip(names, names[1:], strict=False):
+            if a != b:
+                yield a, self.relation, b, sentence
+
+    def both(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of entities and of relations, by one pass over the text."""
+
         def rows(t: str) -> Iterator[tuple]:
+            n = m = 0
             for s, names in self._found(t):
-                for (a, _), (b, _) in zip(names, names[1:], strict=False):
-                    if a != b:
-                        yield a, self.relation, b, s
-
-        return self._run(chunks, RELATIONS, rows)
+                for name, c in names:
+                    yield False, n, name, c, None, s
+                    n += 1
+                for a, p, b, _ in self._related(s, names):
+                    yield True, m, a, p, b, s
+                    m += 1
+
+        found = checkpoint(self._run(chunks, FOUND, rows), release=True)
+        at = ["doc_id", "chunk_ix", "pos"]
+        return (
+            found.where("not related").select(*at, "id", F.col("kind").alias("class_uri"), "evidence_span"),
+            found.where("related").select(*at, F.col("id").alias("source_id"), F.col("kind").alias("property_uri"), "target_id", "evidence_span"),
+        )
 
 
 def with_retry(call: Callable[[], object], attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> object:

@@ -535,9 +535,10 @@ def knowledge_graph(s, d):
     classes = s.createDataFrame([(c,) for c in nouns.values() if c != "ex:Complex"], "uri string")
     properties = s.createDataFrame([("ex:comparedWith",)], "uri string")
     kg = populate(table(s, d, "documents"), classes, properties, RuleBackend(nouns))
-    per = kg["entities"].groupBy("class_uri").agg(F.count(F.lit(1)).alias("n_entities"))
-    typed = kg["entities"].select(F.col("id").alias("source_id"), "class_uri")
-    rels = kg["relations"].join(typed, "source_id").groupBy("class_uri").agg(F.count(F.lit(1)).alias("n_relations"))
+    per = kg["typed"].groupBy("class_uri").agg(F.count(F.lit(1)).alias("n_entities"))
+    typed = kg["typed"].select(F.col("id").alias("source_id"), "class_uri")
+    by_source = kg["relations"].groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    rels = by_source.join(typed, "source_id").groupBy("class_uri").agg(F.sum("n").alias("n_relations"))
     return per.join(rels, "class_uri", "left").select("class_uri", "n_entities", F.coalesce("n_relations", F.lit(0)).alias("n_relations"), kg["skipped"].select("skipped").scalar().alias("n_skipped"))
 
 

@@ -101,6 +101,19 @@ def test_pairs_in_rounds_against_brute_force(spark, monkeypatch):
         assert sorted(map(tuple, similar_pairs(df, threshold, inside).collect())) == sorted(want)
 
 
+def test_graph_from_one_pass(spark):
+    """Both kinds of mentions come from one pass over the text, as they come from two; an end is led where its chunk has it."""
+    docs = spark.createDataFrame([(2, "Outer tavos sensor and outer tavo sensor meet nano bilo oxide. Nano bilo oxide beats outer tavo sensors."), (1, "The outer tavo sensor beats Outer Tavo sensor."), (3, None)], "doc_id long, text string")
+    backend = RuleBackend({"sensor": "ex:Sensor", "oxide": "ex:Oxide"})
+    chunks = readers.prepare(docs)
+    for got, want in zip(backend.both(chunks), (backend.entities(chunks), backend.relations(chunks)), strict=True):
+        assert rows(got) == rows(want) and got.columns == want.columns
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "uri string")
+    kg = populate(docs, one("ex:Sensor", "ex:Oxide"), one("ex:comparedWith"), backend)
+    assert rows(kg["typed"]) == rows(kg["entities"], "id", "class_uri") == [("nano_bilo_oxide", "ex:Oxide"), ("outer_tavo_sensor", "ex:Sensor")]
+    assert rows(kg["relations"].select("source_id", "target_id").distinct()) == [("outer_tavo_sensor", "nano_bilo_oxide"), ("outer_tavo_sensor", "outer_tavo_sensor")]
+
+
 def test_tbox(spark):
     cls = spark.createDataFrame([(1, 0, 0, "ex:A", "bfo:Role", None, "d", "c", "q"), (2, 0, 1, "ex:B", None, "ex:A", None, None, "q"), (3, 1, 0, "ex:A", "bfo:Site", "ex:B", "x", "y", "q"), (4, 2, 0, "ex:C", None, None, None, None, None), (5, 0, 2, None, None, None, None, None, None)], "class_row_id long, batch_ix int, pos int, uri string, bfo_parent string, subclass_of string, aristotelian_definition string, comment string, seq string")
     classes = tbox.approved_classes(cls)
