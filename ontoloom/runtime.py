@@ -41,8 +41,8 @@ def checkpoint(df: DataFrame, replaces: DataFrame | None = None, release: bool =
 
     A table, unlike a checkpointed RDD, carries no constraints of the plan it came from (which multiply from round to
     round of an iteration) and is read in as few partitions as its size needs. replaces: an earlier result of this
-    function that nothing will read again; its files are deleted. release: delete the shuffle files of `df` as soon as it is
-    written, instead of when the driver happens to collect its garbage.
+    function that nothing will read again; its files are deleted. release: spare the disk: delete the shuffle files of `df` as soon as it is
+    written, instead of when the driver happens to collect its garbage, and compress the table more.
     """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
@@ -50,7 +50,7 @@ def checkpoint(df: DataFrame, replaces: DataFrame | None = None, release: bool =
     if release:
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", "zstd") if release else df.write).parquet(path)
     finally:
         if release:
             spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
