@@ -105,7 +105,8 @@ class RuleBackend:
         types = [kinds[x.strip().split()[1]] for x in schema.split(",")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            # a part of a batch at a time: a chunk has many rows
+            for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
                 out = [(d, c, i, *r) for d, c, t in zip(b["doc_id"].to_pylist(), b["chunk_ix"].to_pylist(), b["text"].to_pylist(), strict=True) if t for i, r in enumerate(rows(t))]
                 cols = list(zip(*out, strict=True)) or [()] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], fields)
